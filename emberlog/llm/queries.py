@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bpe_chunks, chat_format, quality, url_filter, wavelet_shards
+from emberlog.llm import bpe_chunks, chat_format, minhash_dedup, quality, url_filter, wavelet_shards
 from emberlog.llm.shared import table
 
 
@@ -42,6 +42,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(extra))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return minhash_dedup.near_duplicates(docs, words=3, percent=85, bands=40, rows=8)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -80,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_token_shards": op6_token_shards,
     "op7_chat_format": op7_chat_format,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {"op7_chat_format": _sql_op7(), "op10_url_filter": url_filter.sql()}
+ORACLES: dict[str, str] = {"op7_chat_format": _sql_op7(), "op9_minhash_dedup": minhash_dedup.sql(), "op10_url_filter": url_filter.sql()}
