@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bpe_chunks, chat_format, minhash_dedup, quality, url_filter, wavelet_shards
+from emberlog.llm import bpe_chunks, chat_format, minhash_dedup, quality, suffix_dedup, url_filter, wavelet_shards
 from emberlog.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
@@ -81,6 +85,7 @@ FROM walked GROUP BY conv_id"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_token_shards": op6_token_shards,
