@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,9 +151,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with their own columns, that the model doesn't reject (score >= 0.5)."""
 
     @F.pandas_udf("double")
-    def scores(batches):
-        import pandas as pd
-
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             own, out, at = texts.fillna("").tolist(), [], 0
             for _, few in steps(pa.RecordBatch.from_pydict({"t": pa.array(own, pa.string())}), "t"):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bpe_chunks, chat_format, minhash_dedup, quality, suffix_dedup, url_filter, wavelet_shards
+from emberlog.llm import ann_tree, bpe_chunks, chat_format, decontaminate, minhash_dedup, quality, suffix_dedup, url_filter, wavelet_shards
 from emberlog.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -46,6 +50,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(extra))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return minhash_dedup.near_duplicates(docs, words=3, percent=85, bands=40, rows=8)
@@ -85,11 +94,13 @@ FROM walked GROUP BY conv_id"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann_tree": op1_ann_tree,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_token_shards": op6_token_shards,
     "op7_chat_format": op7_chat_format,
+    "op8_decontaminate": op8_decontaminate,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filter": op10_url_filter,
 }
