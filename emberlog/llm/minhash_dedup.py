@@ -94,7 +94,7 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_shingles, set_key, bands); the last two are null for an empty set."""
+    """(id, text_key, n_shingles, set_key, bands); the last two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,11 +103,11 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_column: st
                 keys = [set_key(x) if len(x) else None for x in sets]
                 own = [band_keys(signature(x, bands * rows), bands, rows) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_column), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(own, pa.list_(pa.int64()))],
-                    names=[id_column, "n_shingles", "set_key", "bands"],
+                    [part.column(id_column), part.column("text_key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(own, pa.list_(pa.int64()))],
+                    names=[id_column, "text_key", "n_shingles", "set_key", "bands"],
                 )
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` long, n_shingles long, set_key long, bands array<long>")
+    return docs.select(id_column, text_column, F.xxhash64(text_column).alias("text_key")).mapInArrow(run, f"`{id_column}` long, text_key long, n_shingles long, set_key long, bands array<long>")
 
 
 def confirmed(keys: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -185,17 +185,8 @@ def _confirm(members: DataFrame, words: int, percent: int, text_column: str) ->
     return dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "set_key").mapInArrow(links, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 7, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """(id, n_shingles, component_id, kept): one row for each row of docs.
-
-    component_id is the smallest id that links reach, the row's own included. A null or empty text has no shingles
-    and no links. Rows with equal sets are linked whatever their ids: repeated rows share a component and each is
-    kept if its id is the component's; a null id is no component's name, unless all of it are null. At a similarity
-    of exactly percent / 100, a pair shares no bucket with probability (1 - s**rows)**bands, and the rest of its
-    component may join it all the same.
-    """
+def _resolved(docs: DataFrame, words: int, percent: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, text_key, n_shingles, root, component_id) of each row; root names its group, null for an empty set."""
     sig = written(signatures(docs, words, bands, rows, id_column, text_column), "signatures")
     nodes = written(
         sig.where("set_key is not null").groupBy("set_key").agg(F.min(id_column).alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sets"
@@ -213,17 +204,49 @@ def near_duplicates(
     links = components(_confirm(with_text, words, percent, text_column), "links")
     roots = nodes.select(F.col("set_key").alias("node"), "least_id").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = roots.join(least, "root").select(F.col("node").alias("set_key"), "component_id")
-    found = sig.select(id_column, "n_shingles", "set_key").join(named, "set_key", "left")
+    named = roots.join(least, "root").select(F.col("node").alias("set_key"), "root", "component_id")
+    found = sig.select(id_column, "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col(id_column)).otherwise(F.col("component_id"))
-    return found.select(id_column, "n_shingles", component.alias("component_id"), F.col(id_column).eqNullSafe(component).alias("kept"))
+    return found.select(id_column, "text_key", "n_shingles", "root", component.alias("component_id"))
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 7, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept): one row for each row of docs.
+
+    component_id is the smallest id that links reach, the row's own included. A null or empty text has no shingles
+    and no links. Rows with equal sets are linked whatever their ids: repeated rows share a component and each is
+    kept if its id is the component's; a null id is no component's name, unless all of it are null. At a similarity
+    of exactly percent / 100, a pair shares no bucket with probability (1 - s**rows)**bands, and the rest of its
+    component may join it all the same.
+    """
+    found = _resolved(docs, words, percent, bands, rows, id_column, text_column)
+    return found.select(id_column, "n_shingles", "component_id", F.col(id_column).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, with their own columns, that near_duplicates keeps; of rows with one id and text, one stays."""
-    gone = near_duplicates(docs, **parameters).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    return rest
+def keep_one(
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 7, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of docs, with their own columns, that are left when one row of each group stays.
+
+    The row with the smallest id stays; of rows with that id, one whatever their other columns hold. Rows without
+    words belong to no group and all stay. A row with an id stays rather than one without.
+    """
+    found = _resolved(docs, words, percent, bands, rows, id_column, text_column).where("root is not null")
+    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_key")
+    best = found.groupBy("root").agg(F.min(order).alias("x"))
+    copies = found.groupBy(F.col(id_column).alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("_copies"))
+    first = best.select(F.col("x.id").alias("_id"), F.col("x.text_key").alias("_key"))
+    kept = written(copies.join(first, copies["_id"].eqNullSafe(first["_id"]) & (copies["_key"] == first["_key"]), "left_semi"), "kept")
+    text = F.col(text_column)
+    own = docs.withColumn("_text_key", F.xxhash64(text_column))
+    both = own.join(kept, own[id_column].eqNullSafe(kept["_id"]) & (own["_text_key"] == kept["_key"]), "left")
+    wordless = text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
+    single = both.where(wordless | (F.col("_copies") == 1)).select(*docs.columns)
+    if kept.where("_copies > 1").isEmpty():
+        return single
+    return single.unionByName(both.where(~wordless & (F.col("_copies") > 1)).dropDuplicates([id_column, "_text_key"]).select(*docs.columns))
 
 
 def sql(words: int = 3, percent: int = 85) -> str:

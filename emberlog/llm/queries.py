@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import ann_tree, bpe_chunks, chat_format, decontaminate, minhash_dedup, quality, suffix_dedup, url_filter, wavelet_shards
+from emberlog.llm import ann_tree, bpe_chunks, chat_format, decontaminate, minhash_dedup, pii_surrogates, quality, suffix_dedup, url_filter, wavelet_shards
 from emberlog.llm.shared import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
+def pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -35,12 +35,16 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.surrogates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_chunks.digests(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
+    return bpe_chunks.digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet_shards.digests(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return wavelet_shards.digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_tree": op1_ann_tree,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_token_shards": op6_token_shards,
     "op7_chat_format": op7_chat_format,
