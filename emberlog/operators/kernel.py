@@ -41,7 +41,7 @@ def newest_by_aggregate(log: DataFrame) -> DataFrame:
 
 
 def without_tombstones(log: DataFrame) -> DataFrame:
-    return log.where(~is_tombstone())
+    return log.where(F.col("value_type") == 0)
 
 
 def live(log: DataFrame, snapshot: int | None = None) -> DataFrame:
