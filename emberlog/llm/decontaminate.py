@@ -69,19 +69,23 @@ def _walks() -> int:
     return math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
 
 
-def embed(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """A key for each window own[start:start + size], cut at its end: sampled steps of the CGK walk of that number."""
+def embed(padded: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int, walk: int) -> np.ndarray:
+    """A key for each window of words from start to stop: sampled steps of the CGK walk of that number.
+
+    padded holds the hashes of words and one 0 behind them. A step's bit is the highest one of the word's hash times
+    an odd number of that step.
+    """
     rng = np.random.default_rng([size, walk])
     length = 2 * size if size > 1 else 1  # by then most walks have read the whole window
     sampled = set(rng.choice(length, min(SAMPLED, length), replace=False).tolist())
-    stop, at = np.minimum(starts + size, ends), starts.copy()
-    keys = np.full(len(starts), walk * 1000003 + size, np.uint64)
-    padded = np.append(own, np.uint64(0))
+    factors = rng.integers(0, 1 << 64, length, np.uint64) | np.uint64(1)
+    at, keys = starts.copy(), np.full(len(starts), walk * 1000003 + size, np.uint64)
     for step in range(max(sampled) + 1):
-        symbol = np.where(at < stop, padded[np.minimum(at, len(own))], np.uint64(0))
+        symbol = padded[at]
+        symbol[at >= stops] = 0
         if step in sampled:
             keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + symbol)
-        at = at + (mix(symbol + np.uint64((step + 1) * 0x2545F491 + walk * 0x100000001B3)) & np.uint64(1)).astype(np.int64)
+        at += (symbol * factors[step] >> np.uint64(63)).astype(np.int64)  # 0 times any number is 0: walks end at stops
     return keys
 
 
@@ -121,13 +125,14 @@ class Items:
     pairs: np.ndarray
     singles: np.ndarray
     bits: np.ndarray
+    key_bits: np.ndarray
     sizes: list[int]
     #: key of a walk -> (item, offset of its window)
     table: dict[int, list[tuple[int, int]]]
 
     @classmethod
     def build(cls, rows: list[tuple[int | None, str | None]]) -> Items:
-        out = cls([], [], [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1 << _BITS, bool), [], defaultdict(list))
+        out = cls([], [], [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, bool), [], defaultdict(list))
         pairs, singles = [], []
         for item_id, text in rows:
             data, begin, end, own, _ = words([text or ""])
@@ -141,10 +146,11 @@ class Items:
             pairs.append(_pair_hashes(own))
             if size == 1:
                 singles.append(own)
-            starts = np.arange(len(own) - size + 1)
+            starts, padded = np.arange(len(own) - size + 1), np.append(own, np.uint64(0))
             for walk in range(_walks()):
-                for offset, key in enumerate(embed(own, starts, np.full(len(starts), len(own)), size, walk).tolist()):
+                for offset, key in enumerate(embed(padded, starts, starts + size, size, walk).tolist()):
                     out.table[key].append((k, offset))
+                    out.key_bits[key >> 64 - _BITS] = True
         if pairs:
             out.pairs = np.unique(np.concatenate(pairs))
             out.singles = np.unique(np.concatenate(singles)) if singles else out.singles
@@ -178,12 +184,16 @@ def leaks(texts: list[str], items: Items, distance: float = DISTANCE) -> list[tu
     np.cumsum(hit, out=cum[1:])
     single = np.isin(own, items.singles) if len(items.singles) else None
     met: dict[tuple[int, int], set[int]] = defaultdict(set)
+    padded = np.append(own, np.uint64(0))
     for size in items.sizes:
         starts = _windows(own, ends, size, cum, single)
         if not len(starts):
             continue
+        stops = np.minimum(starts + size, ends[starts])
         for walk in range(_walks()):
-            for at, key in zip(starts.tolist(), embed(own, starts, ends[starts], size, walk).tolist()):
+            keys = embed(padded, starts, stops, size, walk)
+            few = np.flatnonzero(items.key_bits[(keys >> np.uint64(64 - _BITS)).astype(np.int64)])  # most keys are no item's
+            for at, key in zip(starts[few].tolist(), keys[few].tolist()):
                 for item, offset in items.table.get(key, ()):
                     met[int(of[at]), item].add(at - offset)
     out = []
