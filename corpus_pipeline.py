@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import bpe_chunks, decontaminate, minhash_dedup, pii_surrogates, quality
 from emberlog.llm.queries import pattern, tokenizer
-from emberlog.llm.shared import table, written
+from emberlog.llm.shared import fresh, table, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the new text."""
-    out = pii_surrogates.replaced(docs)
-    return out.withColumn("n_chars", F.when(F.col("_clean"), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    (found,) = fresh(docs, "_entities")
+    out = pii_surrogates.replaced(docs, entities=found)
+    return out.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

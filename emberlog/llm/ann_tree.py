@@ -142,7 +142,7 @@ def search(
     queries = asked.dropDuplicates(["entry"]).select("entry", "v")
     n = entries.count()
     chosen = entries.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))).select("v").limit(2 * sample).toPandas()["v"]
-    fitted = fit(np.array(chosen.tolist(), np.float64).reshape(len(chosen), -1), min(LEAVES, max(1, n // leaf)))
+    fitted = fit(np.array(chosen.tolist(), np.float64) if len(chosen) else np.zeros((0, 1)), min(LEAVES, max(1, n // leaf)))
     tree = spark.sparkContext.broadcast(fitted)  # LEAVES bounds it
     visits = _calibrated(entries, queries, fitted, more, recall) if n else 1
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.graph import components
-from emberlog.llm.shared import joined, mix, powers, steps, written
+from emberlog.llm.shared import fresh, joined, mix, powers, steps, written
 
 #: Shingles in one block of a cluster.
 BLOCK_SHINGLES = 2_000_000
@@ -236,17 +236,17 @@ def keep_one(
     found = _resolved(docs, words, percent, bands, rows, id_column, text_column).where("root is not null")
     order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_key")
     best = found.groupBy("root").agg(F.min(order).alias("x"))
-    copies = found.groupBy(F.col(id_column).alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("_copies"))
-    first = best.select(F.col("x.id").alias("_id"), F.col("x.text_key").alias("_key"))
-    kept = written(copies.join(first, copies["_id"].eqNullSafe(first["_id"]) & (copies["_key"] == first["_key"]), "left_semi"), "kept")
-    text = F.col(text_column)
-    own = docs.withColumn("_text_key", F.xxhash64(text_column))
-    both = own.join(kept, own[id_column].eqNullSafe(kept["_id"]) & (own["_text_key"] == kept["_key"]), "left")
-    wordless = text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
-    single = both.where(wordless | (F.col("_copies") == 1)).select(*docs.columns)
-    if kept.where("_copies > 1").isEmpty():
+    own_id, own_key, copies, key = fresh(docs, "_id", "_key", "_copies", "_text_key")
+    counted = found.groupBy(F.col(id_column).alias(own_id), F.col("text_key").alias(own_key)).agg(F.count("*").alias(copies))
+    first = best.select(F.col("x.id").alias("_best"), F.col("x.text_key").alias("_best_key"))
+    kept = written(counted.join(first, F.col(own_id).eqNullSafe(F.col("_best")) & (F.col(own_key) == F.col("_best_key")), "left_semi"), "kept")
+    both = docs.withColumn(key, F.xxhash64(text_column)).join(kept, docs[id_column].eqNullSafe(kept[own_id]) & (F.col(key) == F.col(own_key)), "left")
+    wordless = F.col(text_column).isNull() | ~F.col(text_column).rlike(r"[^\x20\x09-\x0D]")
+    single = both.where(wordless | (F.col(copies) == 1)).select(*(docs[f"`{c}`"] for c in docs.columns))
+    if kept.where(F.col(copies) > 1).isEmpty():
         return single
-    return single.unionByName(both.where(~wordless & (F.col("_copies") > 1)).dropDuplicates([id_column, "_text_key"]).select(*docs.columns))
+    rest = both.where(~wordless & (F.col(copies) > 1)).dropDuplicates([id_column, key])
+    return single.unionByName(rest.select(*(docs[f"`{c}`"] for c in docs.columns)))
 
 
 def sql(words: int = 3, percent: int = 85) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import written
+from emberlog.llm.shared import fresh, written
 
 KEY = "surrogates-1"
 #: Words keyed anew, at most; with more, words get one more syllable and the check starts again.
@@ -211,24 +211,24 @@ def _anew(texts: DataFrame, key: str) -> tuple[int, dict[str, int]]:
             syllables, anew = syllables + 1, {}
 
 
-def replaced(docs: DataFrame, key: str = KEY, text_column: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str = KEY, text_column: str = "text", entities: str | None = None) -> DataFrame:
     """The rows of docs with their own columns; in the text each entity is a surrogate.
 
-    Two more columns: _entities, the types found in order of place, and _clean, whether there were none; a null text
-    stays null and an empty one empty. No row is shuffled but for the check of distinct words of names.
+    entities names a further column for the types found, in order of place. A null text stays null and an empty one
+    empty; neither has entities. Repeated rows stay and equal texts become equal texts. No row is shuffled but for
+    the check of distinct words of names.
     """
-    own = F.col(text_column)
+    own, (found, new) = F.col(text_column), fresh(docs, "_found", "_new")
     syllables, anew = _anew(docs.select(own.alias("text")), key)
     known = F.create_map(*(F.lit(x) for kv in anew.items() for x in kv)).cast("map<string,int>")
-    df = docs.withColumn("_found", _found(F.coalesce(own, F.lit(""))))
-    df = df.withColumn("_new", F.transform("_found", lambda e: surrogate(e, key, syllables, known)))
-    pieces = F.split(own, PATTERN, -1)
-    text = F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    df = df.withColumn(text_column, F.when(F.size("_found") == 0, own).otherwise(text))
-    return df.withColumn("_entities", F.transform("_found", kind_of)).withColumn("_clean", F.size("_found") == 0).drop("_found", "_new")
+    df = docs.withColumn(found, _found(F.coalesce(own, F.lit(""))))
+    df = df.withColumn(new, F.transform(found, lambda e: surrogate(e, key, syllables, known)))
+    text = F.array_join(F.zip_with(F.split(own, PATTERN, -1), new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    df = df.withColumn(text_column, F.when(F.size(found) == 0, own).otherwise(text))
+    return df.select(*docs.columns, *([F.transform(found, kind_of).alias(entities)] if entities else []))
 
 
 def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_entities, entity_types): one row for each row of docs."""
-    out = replaced(docs.select("doc_id", "text"), key)
-    return out.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), F.col("_entities").alias("entity_types"))
+    out = replaced(docs.select("doc_id", "text"), key, entities="entity_types")
+    return out.select("doc_id", "text", F.size("entity_types").cast("long").alias("n_entities"), "entity_types")
