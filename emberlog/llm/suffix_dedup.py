@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,18 +90,18 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
             live = live[np.argsort(at[live])]  # so that places are looked up in order
             bwt, lcp = transform.read(), prefixes.read()
             own = at[live]
-            target, low, high = _mapped(bwt, codes[j - 1, live], own, len(present))
+            target, low, high = _mapped(bwt, own)
             target += m
-            left = _least(lcp, low, own)
-            right = _least(lcp, own, high)
+            left, right = _least(lcp, low, own, high)
             total = len(bwt) + len(live)
             new = np.zeros(total, bool)
             new[target] = True
+            old = ~new
             out = np.empty(total, bwt.dtype)
-            out[~new] = bwt
+            out[old] = bwt
             out[target] = codes[j, live]
             common = np.empty(total, np.uint16)
-            common[~new] = lcp
+            common[old] = lcp
             common[target] = left
             behind = target + 1
             fits = (high >= 0) & (behind < total)
@@ -124,45 +125,24 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [flags[n:0:-1, i][: max(0, n - length + 1)] for i, n in enumerate(sizes.tolist())]
 
 
-_BLOCK = 256
-
-
-def _mapped(bwt: np.ndarray, symbols: np.ndarray, own: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For places that hold symbols: how many lesser ones but ends there are and equal ones before, and where the
-    nearest equal one before and behind stands (-1: nowhere). Counts by block leave one block to look at."""
-    blocks = -(-len(bwt) // _BLOCK)
-    padded = np.full(blocks * _BLOCK, sigma, np.uint16 if sigma > 255 else bwt.dtype)
-    padded[: len(bwt)] = bwt
-    counts = np.bincount(np.repeat(np.arange(blocks) * (sigma + 1), _BLOCK) + padded, minlength=blocks * (sigma + 1)).reshape(blocks, sigma + 1)
-    grid, inside = padded.reshape(blocks, _BLOCK), np.arange(_BLOCK)
-    total = counts.sum(0)
-    total[0] = 0
-    block, offset = own // _BLOCK, own % _BLOCK
-    equal = grid[block] == symbols[:, None]
-    before, behind = equal & (inside < offset[:, None]), equal & (inside > offset[:, None])
-    rank = (np.cumsum(total) - total)[symbols] + (np.cumsum(counts, 0) - counts)[block, symbols] + np.count_nonzero(before, 1)
-    numbers = np.where(counts > 0, np.arange(blocks)[:, None], -1)
-    lower = np.vstack([np.full((1, sigma + 1), -1), np.maximum.accumulate(numbers, 0)])[block, symbols]
-    numbers[numbers < 0] = blocks
-    upper = np.vstack([np.minimum.accumulate(numbers[::-1], 0)[::-1], np.full((1, sigma + 1), blocks)])[block + 1, symbols]
-    low = np.where(before.any(1), block * _BLOCK + _BLOCK - 1 - before[:, ::-1].argmax(1), -1)
-    far = np.flatnonzero((low < 0) & (lower >= 0))
-    low[far] = lower[far] * _BLOCK + _BLOCK - 1 - (grid[lower[far]] == symbols[far, None])[:, ::-1].argmax(1)
-    high = np.where(behind.any(1), block * _BLOCK + behind.argmax(1), -1)
-    far = np.flatnonzero((high < 0) & (upper < blocks))
-    high[far] = upper[far] * _BLOCK + (grid[upper[far]] == symbols[far, None]).argmax(1)
-    return rank, low, high
-
-
-def _least(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """One more than the least of lcp[low + 1 : high + 1] for each pair; 0 where either is missing."""
-    fits = np.flatnonzero((low >= 0) & (high >= 0))
-    out = np.zeros(len(low), np.uint16)
-    if len(fits):
-        spans = np.stack([low[fits] + 1, high[fits] + 1], 1)
-        padded = np.append(lcp, np.uint16(0))
-        out[fits] = np.minimum.reduceat(padded, spans.ravel())[::2] + 1
-    return out
+def _mapped(bwt: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For places of the transform: how many lesser symbols but ends there are and equal ones before, and where the
+    nearest equal one before and behind stands (-1: nowhere). A stable sort of symbols has all of it side by side."""
+    order = np.argsort(bwt, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at, symbols = place[own], bwt[own]
+    before, behind = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, len(order) - 1)]
+    low = np.where((at > 0) & (bwt[before] == symbols), before, -1)
+    high = np.where((at + 1 < len(order)) & (bwt[behind] == symbols), behind, -1)
+    return at - int(np.count_nonzero(bwt == 0)), low, high
+
+
+def _least(lcp: np.ndarray, low: np.ndarray, own: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more than the least of lcp[low + 1 : own + 1] and of lcp[own + 1 : high + 1]; 0 where low or high is missing."""
+    spans = np.stack([np.where(low >= 0, low, own) + 1, own + 1, np.where(high >= 0, high, own) + 1], 1)
+    found = np.minimum.reduceat(np.append(lcp, np.uint16(0)), spans.ravel()).reshape(-1, 3) + np.uint16(1)
+    return np.where(low >= 0, found[:, 0], np.uint16(0)), np.where(high >= 0, found[:, 1], np.uint16(0))
 
 
 def _window_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -222,7 +202,7 @@ def _records(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, many, doc_id, text_key, lo, unsure, raw): the bytes of each wanted fragment."""
+    """(anchor, many, doc_id, text_key, at, lo, unsure, raw): the bytes of each wanted fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,17 +210,16 @@ def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for text, doc_id, key, wants in zip(texts, *(part.column(c).to_pylist() for c in ("doc_id", "text_key", "wants"))):
                     raw = text.encode("utf-8", "surrogatepass")
-                    rows += [(w["anchor"], w["many"], doc_id, key, w["lo"], w["unsure"], raw[w["lo"] : w["hi"] + length]) for w in wants]
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                names = ["anchor", "many", "doc_id", "text_key", "lo", "unsure", "raw"]
+                    rows += [(w["anchor"], w["many"], doc_id, key, w["at"], w["lo"], w["unsure"], raw[w["lo"] : w["hi"] + length]) for w in wants]
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                names = ["anchor", "many", "doc_id", "text_key", "at", "lo", "unsure", "raw"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "many", "lo", "hi", "unsure")).alias("wants"))
+    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "many", "at", "lo", "hi", "unsure")).alias("wants"))
     lists = lists.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "wants")
     both = docs.join(lists, docs["doc_id"].eqNullSafe(lists["_d"]) & (docs["text_key"] == lists["_k"])).select("doc_id", "text_key", "text", "wants")
     # Rows with one doc_id and text have the same fragments, of which one is fetched.
-    out = both.mapInArrow(run, "anchor long, many boolean, doc_id long, text_key long, lo int, unsure boolean, raw binary")
-    return out
+    return both.mapInArrow(run, "anchor long, many boolean, doc_id long, text_key long, at int, lo int, unsure boolean, raw binary")
 
 
 _SPAN = "doc_id long, text_key long, start int, stop int"
@@ -257,11 +236,33 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "text_key", "start", "stop"])
 
 
-def _by_collections(few: DataFrame, length: int) -> DataFrame:
+def _sharing(group: list[tuple], length: int, k: int) -> list[tuple]:
+    """The fragments of one anchor, (doc_id, text_key, at, lo, unsure, raw), that can share a string, cut to what can.
+
+    A string reaches over its anchor by half of length - k at least, to the left or to the right. Where no other
+    fragment has the same bytes on that side, no shared string reaches so far; with neither, there is none.
+    """
+    half = (length - k) // 2
+    sides = []
+    for *_, at, lo, _, raw in group:
+        p = at - lo
+        sides.append((raw[p - half : p + k] if p >= half else None, raw[p : p + k + half] if p + k + half <= len(raw) else None))
+    lefts, rights = (Counter(side[i] for side in sides) for i in (0, 1))
+    out = []
+    for (doc_id, key, at, lo, unsure, raw), (a, b) in zip(group, sides):
+        left, right, p = a is not None and lefts[a] > 1, b is not None and rights[b] > 1, at - lo
+        if left or right:
+            start, stop = 0 if left else max(0, p - half + 1), len(raw) if right else p + k + half - 1
+            out.append((doc_id, key, lo + start, unsure, raw[start:stop]))
+    return out
+
+
+def _by_collections(few: DataFrame, length: int, k: int) -> DataFrame:
     """Spans of repeated strings, from collections of the fragments of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        group: list[tuple] = []
         size, now = 0, None
 
         def done():
@@ -269,17 +270,22 @@ def _by_collections(few: DataFrame, length: int) -> DataFrame:
             return _span_batch([(r[0], r[1], a, b) for r, flags in zip(held, got) if r[3] for a, b in _runs(flags, r[2], length)])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "lo", "unsure", "raw"))):
-                if row[0] != now and size > COLLECTION_BYTES:
-                    yield done()
-                    held, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "at", "lo", "unsure", "raw"))):
+                if row[0] != now:
+                    held += (new := _sharing(group, length, k))
+                    size += sum(len(r[4]) for r in new)
+                    group = []
+                    if size > COLLECTION_BYTES:
+                        yield done()
+                        held, size = [], 0
                 now = row[0]
-                held.append(row[1:])
-                size += len(row[5])
+                group.append(row[1:])
+        held += _sharing(group, length, k)
         if held:
             yield done()
 
-    return few.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc_id", "text_key", "lo", "unsure", "raw").mapInArrow(run, _SPAN)
+    columns = ("anchor", "doc_id", "text_key", "at", "lo", "unsure", "raw")
+    return few.repartition("anchor").sortWithinPartitions("anchor").select(*columns).mapInArrow(run, _SPAN)
 
 
 def _by_strings(many: DataFrame, length: int) -> DataFrame:
@@ -321,11 +327,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, many: int
     dealt = dealt.withColumn("distinct", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor)).withColumn("alone", F.max(F.col("equal") == 1).over(anchor))
     found = written(dealt.where("equal > 1 or alone"), "fragments")
     wanted = found.where("alone and nth = 1").select(
-        "doc_id", "text_key", "anchor", "lo", "hi", (F.col("distinct") > many).alias("many"), (F.col("equal") == 1).alias("unsure")
+        "doc_id", "text_key", "anchor", "at", "lo", "hi", (F.col("distinct") > many).alias("many"), (F.col("equal") == 1).alias("unsure")
     )
     fetched = written(_fetched(docs, wanted, length).dropDuplicates(["doc_id", "text_key", "lo"]), "collections")
     sure = found.where("equal > 1").select("doc_id", "text_key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    return sure.unionByName(_by_collections(fetched.where("not many"), length)).unionByName(_by_strings(fetched.where("many"), length))
+    return sure.unionByName(_by_collections(fetched.where("not many"), length, k)).unionByName(_by_strings(fetched.where("many"), length))
 
 
 def removed(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY, with_text: bool = False) -> DataFrame:
