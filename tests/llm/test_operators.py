@@ -317,6 +317,21 @@ def test_decontamination(spark, edges, nothing):
     assert sorted(str(r["doc_id"]) for r in decontaminate.contaminated(edges, short).collect()) == ["5", "6", "6", "7", "None"]
 
 
+@pytest.mark.parametrize("size", [32, 48, 64, 96, 128, 256, 300])
+def test_recall_of_edited_words(size):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    own = [[word() for _ in range(size)] for _ in range(40)]
+    items, found = decontaminate.Items.build([(k, " ".join(x)) for k, x in enumerate(own)]), 0
+    for share in (0.2, 0.25, 0.3):
+        texts = []
+        for x in own:
+            edited = set(rng.sample(range(size), int(share * size)))
+            texts.append(" ".join([word() for _ in range(30)] + [word() if k in edited else w for k, w in enumerate(x)] + [word() for _ in range(30)]))
+        found += sum(text == item for text, item, _ in decontaminate.leaks(texts, items, 0.4))
+    assert found >= 0.98 * 3 * len(own)
+
+
 # 9
 
 
