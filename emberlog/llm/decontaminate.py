@@ -5,8 +5,12 @@ a random bit of (step, word); windows at a small edit distance become sequences
 sampled positions, repeated with other walks, meet in a table of the items' windows. Each meeting is verified: the
 least edit distance, in characters, between the whole item and any stretch of the document around the meeting.
 
-Before the walks, windows that share too few word pairs with the items are left out. Within the given share of
-edited words this loses nothing: each edit spoils two pairs at most.
+Before the walks, windows that share too few word pairs with the items are left out: each edit spoils two pairs at
+most.
+
+Small edits spread over most words leave walks nothing to meet in. So stretches that share enough runs of characters
+with an item, along nearly one diagonal, are looked at as well. How many are enough follows from the distance. Of these
+are verified the ones in which a part of the item, 64 characters at most, is within its share of the distance.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +38,10 @@ EDITED = 0.3
 #: items are met in any of their windows of 16 words.
 SAMPLED, WALKS = 3, 26
 SIZES = (1, 2, 3, 4, 6, 8, 12, 16)
+#: Characters of a piece of an item whose runs are counted; lengths of runs; runs that a piece needs so that its count tells.
+PIECE, RUNS, ENOUGH = 400, (6, 5, 4, 3), 8
+#: Meetings of runs that are held at once; parts that are compared at once.
+MEETINGS, LANES = 1 << 20, 1 << 13
 #: Bytes of items that one pass over the documents looks for.
 PASS_BYTES = 16 << 20
 _BITS = 20
@@ -112,6 +121,181 @@ def edit_distance(pattern: str, text: str) -> int:
     return best
 
 
+def _plain(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """(all words with one space before each, where words begin and end in it)."""
+    if not len(begin):
+        return "", begin, end
+    step = np.zeros(len(data) + 1, np.int8)
+    step[begin - 1] += 1
+    step[end] -= 1
+    kept = np.cumsum(step[:-1], dtype=np.int8) > 0
+    own = data.copy()
+    own[begin - 1] = 32
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(kept & (own & 0xC0 != 0x80), out=at[1:])
+    return own[kept].tobytes().decode("utf-8", "surrogatepass"), at[begin], at[end]
+
+
+def _run_hashes(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes) of all runs of 1, 2 and so on characters, up to the longest that is counted."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sums = codes
+    for n in range(1, max(RUNS) + 1):
+        if n > 1:
+            sums = sums[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        if not len(sums):
+            return
+        yield n, sums * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _classes(text: str) -> np.ndarray:
+    """Characters in 32 classes, with 32, which is no character's, around them."""
+    own = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    return np.concatenate([[32], own, [32]]).astype(np.int64)
+
+
+@lru_cache(maxsize=None)
+def least_runs(length: int, edits: int) -> tuple[int, int]:
+    """(length of runs, how many stay whole) of a text of that length after so many edited characters.
+
+    The number is what 99 % of edited texts keep, both with the edits anywhere and with one in each stretch of equal
+    length. Texts for which that is too few to tell anything need what no edits can spoil.
+    """
+    rng, trials = np.random.default_rng([length, edits]), 300
+    anywhere = np.sort(np.argsort(rng.random((trials, length)), 1)[:, :edits], 1)
+    spread = np.arange(edits) * length // max(1, edits) + rng.integers(0, max(1, length // max(1, edits)), (trials, edits))
+    for n in RUNS:
+        kept = []
+        for at in (anywhere, spread):
+            whole = np.diff(np.hstack([np.full((trials, 1), -1), at, np.full((trials, 1), length)])) - 1
+            kept.append(int(np.quantile(np.maximum(whole - n + 1, 0).sum(1), 0.01, method="lower")))
+        if min(kept) >= ENOUGH:
+            return n, min(kept)
+    n = max((n for n in (1, 2) if length - n + 1 - n * edits > 0), default=1)
+    return n, max(1, length - n + 1 - n * edits)
+
+
+class Runs:
+    """The runs of pieces of items. A leak of an item leaks one of its pieces at least."""
+
+    def __init__(self, texts: list[str], distance: float):
+        self.pieces: list[tuple[int, int]] = []  # (item, offset)
+        least, edits, found = [], [], defaultdict(list)
+        for k, text in enumerate(texts):
+            n = -(-len(text) // PIECE)
+            for i in range(n):
+                a, b = i * len(text) // n, (i + 1) * len(text) // n
+                spoilt = math.floor(distance * (b - a))
+                size, enough = least_runs(b - a, spoilt)
+                own = dict(_run_hashes(text[a:b]))[size]
+                found[size].append((np.full(len(own), len(self.pieces)), np.arange(len(own)), own))
+                self.pieces.append((k, a))
+                edits.append(spoilt)
+                least.append(enough)
+        self.least, self.edits = np.array(least, np.int64), np.array(edits, np.int64)
+        #: Parts of pieces: where each piece's start, their places, lengths, edits, and bits of 32 classes of characters.
+        counts, place, length, masks = [], [], [], []
+        for (k, a), b in zip(self.pieces, [*self.pieces[1:], (-1, 0)]):
+            own = texts[k][a : b[1] if b[0] == k else None]
+            n = -(-len(own) // 64)
+            counts.append(n)
+            for i in range(n):
+                x, y = i * len(own) // n, (i + 1) * len(own) // n
+                bits = [0] * 33
+                for at, c in enumerate(own[x:y]):
+                    bits[ord(c) & 31] |= 1 << at
+                place.append(x)
+                length.append(y - x)
+                masks.append(np.array(bits, np.uint64))
+        self.parts, self.place, self.length = np.append(0, np.cumsum(counts, dtype=np.int64)), np.array(place, np.int64), np.array(length, np.int64)
+        self.masks, self.distance = np.array(masks, np.uint64), distance
+        #: Where each item's pieces start.
+        self.of_item = np.searchsorted([k for k, _ in self.pieces], np.arange(len(texts) + 1))
+        #: length -> (bits, where the slots of hashes start, pieces and places of their runs)
+        self.tables: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, parts in found.items():
+            piece, place, own = (np.concatenate(x) for x in zip(*parts))
+            bits = min(26, max(12, (32 * len(own)).bit_length()))
+            slot = (own >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            starts = np.zeros((1 << bits) + 1, np.int32)
+            np.cumsum(np.bincount(slot, minlength=1 << bits), out=starts[1:])
+            self.tables[size] = bits, starts, piece[order], place[order]
+
+    def stretches(self, text: str, classes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(piece, first, last place at which it may begin) where a part of it is near and enough of its runs stand along nearly one diagonal.
+
+        Edits move the diagonal by no more than their number, so it lies in two neighbouring bands of that width.
+        """
+        for size, own in _run_hashes(text):
+            if size not in self.tables:
+                continue
+            bits, starts, piece, place = self.tables[size]
+            slot = (own >> np.uint64(64 - bits)).astype(np.int32)
+            low = starts[slot]
+            count = starts[slot + 1] - low
+            at = np.flatnonzero(count)
+            low, count = low[at], count[at].astype(np.int64)
+            ends, width, i, seen = np.cumsum(count), self.edits[piece] + 1, 0, []
+            key, shift = piece.astype(np.int64) << 38 | place, PIECE - place
+            while i < len(at):
+                done = ends[i] - count[i]
+                j = max(i + 1, int(np.searchsorted(ends, done + MEETINGS, "right")))
+                own_count = count[i:j]
+                which = np.repeat(low[i:j] - (ends[i:j] - own_count - done), own_count) + np.arange(ends[j - 1] - done)
+                seen.append(_distinct(key[which] + ((np.repeat(at[i:j], own_count) + shift[which]) // width[which] << 9)))
+                i = j
+            if not seen:
+                continue
+            keys = (seen[0] if len(seen) == 1 else _distinct(np.concatenate(seen))) >> 9
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n, keys = np.diff(np.append(first, len(keys))), keys[first]
+            both = n.copy()
+            both[:-1] += np.where(keys[1:] == keys[:-1] + 1, n[1:], 0)
+            enough = np.flatnonzero(both >= self.least[keys >> 29])
+            found = keys[enough] >> 29
+            own_width = self.edits[found] + 1
+            first = (keys[enough] & 0x1FFFFFFF) * own_width - PIECE
+            near = np.flatnonzero(self.near(classes, found, first, 2 * own_width, self.distance))
+            yield from zip(found[near].tolist(), first[near].tolist(), (first + 2 * own_width)[near].tolist())
+
+    def near(self, classes: np.ndarray, found: np.ndarray, first: np.ndarray, width: np.ndarray, distance: float) -> np.ndarray:
+        """Whether any part of each piece, begun at first or up to width behind it, is near enough; never a false no."""
+        out, spoilt = np.zeros(len(found), bool), np.floor(distance * self.length + 1e-9).astype(np.int64)
+        n = self.parts[found + 1] - self.parts[found]
+        of = np.repeat(np.arange(len(found)), n)
+        part = np.repeat(self.parts[found] - (np.cumsum(n) - n), n) + np.arange(len(of))
+        columns = self.length[part] + width[of]
+        order = np.argsort(columns, kind="stable")
+        begin = first[of] + self.place[part] + 1
+        before, behind = max(0, -int(begin.min(initial=0))), max(0, int((begin + columns.max(initial=0)).max(initial=0)) + 1 - len(classes))
+        classes, flat, one = np.pad(classes, (before, behind), constant_values=32), self.masks.reshape(-1), np.uint64(1)
+        for i in range(0, len(order), LANES):
+            lanes = order[i : i + LANES]
+            own, at = part[lanes], begin[lanes] + before
+            rows, top = own * 33, (self.length[own] - 1).astype(np.uint64)
+            plus, minus = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
+            score = self.length[own].astype(np.uint64)
+            best = score.copy()
+            for step in range(int(columns[lanes[-1]]) + 1):
+                eq = flat[rows + classes[at + step]]
+                xv = eq | minus
+                xh = (((eq & plus) + plus) ^ plus) | eq
+                ph, mh = minus | ~(xh | plus), plus & xh
+                score += ph >> top & one
+                score -= mh >> top & one
+                np.minimum(best, score, out=best)
+                ph, mh = ph << one, mh << one
+                plus, minus = mh | ~(xv | ph), ph & xv
+            out[of[lanes[best.astype(np.int64) <= spoilt[own]]]] = True
+        return out
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])]
+
+
 @dataclass
 class Items:
     """What one pass looks for."""
@@ -126,9 +310,10 @@ class Items:
     sizes: list[int]
     #: key of a walk -> (item, offset of its window)
     table: dict[int, list[tuple[int, int]]]
+    runs: Runs | None = None
 
     @classmethod
-    def build(cls, rows: list[tuple[int | None, str | None]]) -> Items:
+    def build(cls, rows: list[tuple[int | None, str | None]], distance: float = DISTANCE) -> Items:
         out = cls([], [], [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, bool), [], defaultdict(list))
         pairs, singles = [], []
         for item_id, text in rows:
@@ -151,6 +336,7 @@ class Items:
         if pairs:
             out.pairs = np.unique(np.concatenate(pairs))
             out.singles = np.unique(np.concatenate(singles)) if singles else out.singles
+            out.runs = Runs(out.texts, distance)
             out.bits[(out.pairs >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         return out
 
@@ -193,13 +379,41 @@ def leaks(texts: list[str], items: Items, distance: float = DISTANCE) -> list[tu
             for at, key in zip(starts[few].tolist(), keys[few].tolist()):
                 for item, offset in items.table.get(key, ()):
                     met[int(of[at]), item].add(at - offset)
-    out = []
-    for (text, item), places in sorted(met.items()):
-        n, least = items.lengths[item], None
-        pad, limit = math.ceil(EDITED * n) + 2, math.floor(distance * len(items.texts[item]))
-        for low, high in _merged(sorted(places), n):
+    plain, word_at, word_end = _plain(data, begin, end)
+    full = np.flatnonzero(np.diff(first))  # texts with words
+    text_at, text_end = word_at[first[full]], word_end[first[full + 1] - 1]
+    places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    classes, walked = _classes(plain), []
+    for (text, item), found in met.items():
+        n = items.lengths[item]
+        pad = math.ceil(EDITED * n) + 2
+        for low, high in _merged(sorted(found), n):
             a, b = max(int(first[text]), low - pad), min(int(first[text + 1]), high + n + pad)
-            around = " ".join(data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(begin[a:b], end[a:b]))
+            walked.append((text, item, int(word_at[a]), int(word_end[b - 1])))
+    # What walks met by chance has no part that is near.
+    asked = [(w, p) for w, (_, item, _, _) in enumerate(walked) for p in range(items.runs.of_item[item], items.runs.of_item[item + 1])]
+    if asked:
+        which, piece = np.array(asked, np.int64).T
+        low, high = np.array([x[2:] for x in walked], np.int64)[which].T
+        size = np.array([len(items.texts[walked[w][1]]) for w in which], np.int64)
+        edits = np.floor(distance * size).astype(np.int64) + 1
+        offset = np.array([a for _, a in items.runs.pieces], np.int64)[piece]
+        near = items.runs.near(classes, piece, low + offset - edits, np.maximum(high - low - size, 0) + 3 * edits, distance)
+        for w in np.unique(which[near]).tolist():
+            text, item, low, high = walked[w]
+            places[text, item].append((low, high))
+    for piece, low, high in items.runs.stretches(plain, classes):
+        item, offset = items.runs.pieces[piece]
+        size = len(items.texts[item])
+        edits = math.floor(distance * size) + 1
+        low, high = low - offset - edits, high - offset + size + edits
+        for t in range(int(np.searchsorted(text_end, low, "right")), int(np.searchsorted(text_at, high, "left"))):
+            places[int(full[t]), item].append((max(low, int(text_at[t])), min(high, int(text_end[t]))))
+    out = []
+    for (text, item), stretches in sorted(places.items()):
+        least, limit = None, math.floor(distance * len(items.texts[item]))
+        for low, high in _united(sorted(stretches)):
+            around = plain[low:high]
             got = 0 if items.texts[item] in around else edit_distance(items.texts[item], around)
             if got <= limit and (least is None or got < least):
                 least = got
@@ -210,6 +424,16 @@ def leaks(texts: list[str], items: Items, distance: float = DISTANCE) -> list[tu
     return out
 
 
+def _united(stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    low, high = stretches[0]
+    for a, b in stretches[1:]:
+        if a > high:
+            yield low, high
+            low, high = a, b
+        high = max(high, b)
+    yield low, high
+
+
 def _merged(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
     low = high = places[0]
     for p in places[1:]:
@@ -220,13 +444,13 @@ def _merged(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def _passes(benchmark: DataFrame) -> list[Items]:
+def _passes(benchmark: DataFrame, distance: float) -> list[Items]:
     """The items, in parts of a bounded size: a larger benchmark takes more passes over the documents."""
     rows = benchmark.select("item_id", "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // PASS_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    found = [Items.build([tuple(r) for r in rows.where(part == k).orderBy("item_id", "text").collect()]) for k in range(n)]
+    found = [Items.build([tuple(r) for r in rows.where(part == k).orderBy("item_id", "text").collect()], distance) for k in range(n)]
     return [x for x in found if x.ids]
 
 
@@ -238,7 +462,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, distance: float = DISTAN
     """
     spark, out = docs.sparkSession, None
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    for items in _passes(benchmark):
+    for items in _passes(benchmark, distance):
         sent = spark.sparkContext.broadcast(items)  # PASS_BYTES bounds it
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -260,7 +484,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, distance: float = DISTAN
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE) -> DataFrame:
     """The rows of docs, with their own columns, into which no item leaks. No row is shuffled."""
-    for items in _passes(benchmark):
+    for items in _passes(benchmark, distance):
         docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(items), distance)(F.col("text")))
     return docs
 

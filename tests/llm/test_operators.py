@@ -332,6 +332,26 @@ def test_recall_of_edited_words(size):
     assert found >= 0.98 * 3 * len(own)
 
 
+@pytest.mark.parametrize("size", [1, 3, 5, 12, 25, 50, 120, 300])
+def test_recall_of_spread_edits(size):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 8)))
+    own = [[word() for _ in range(size)] for _ in range(30)]
+    items, found, want = decontaminate.Items.build([(k, " ".join(x)) for k, x in enumerate(own)]), 0, 0
+    for every in (1, 2, 3):  # one letter in each, each second and each third word
+        texts = []
+        for x in own:
+            edited = []
+            for k, w in enumerate(x):
+                at = rng.randrange(len(w))
+                edited.append(w if k % every else w[:at] + rng.choice("uvwxyz") + w[at + 1 :])
+            texts.append(" ".join([word() for _ in range(30)] + edited + [word() for _ in range(30)]))
+        leaked = {(k, k) for k, (x, t) in enumerate(zip(own, texts)) if decontaminate.edit_distance(" ".join(x), t) <= 0.2 * len(" ".join(x))}
+        want += len(leaked)
+        found += len(leaked & {(t, i) for t, i, _ in decontaminate.leaks(texts, items)})
+    assert want and found >= 0.98 * want
+
+
 # 9
 
 
