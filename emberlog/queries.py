@@ -1,7 +1,8 @@
 """The engine's queries over the driver's tables, each with the same in SQL.
 
 Keys and values are bytes inside and text in results. Parameters that depend on a table's size are computed from it
-on both sides. Nothing is cut down: each query reads whole tables.
+on both sides. Each query reads whole tables. range_reverse, reverse_versions and iter_reverse_top give the first 25, 50
+and 10 rows; range_reverse_all and reverse_versions_all give all.
 """
 
 from __future__ import annotations
@@ -135,6 +136,11 @@ def _range_reverse(spark, folder):
     return reads.key_range(orders_log(spark, folder), _LO, _HI, reverse=True).limit(25)
 
 
+@_query("range_reverse_all", f"WITH {_O}, {_live('o', f"key >= '{_LO}' AND key <= '{_HI}'")} SELECT key, value FROM live ORDER BY key DESC")
+def _range_reverse_all(spark, folder):
+    return reads.key_range(orders_log(spark, folder), _LO, _HI, reverse=True)
+
+
 @_query("prefix_scan", f"WITH {_O}, {_live('o')} SELECT key, value FROM live WHERE starts_with(key, '1-URGENT/') ORDER BY key")
 def _prefix_scan(spark, folder):
     return reads.prefix(orders_log(spark, folder), "1-URGENT/")
@@ -210,6 +216,11 @@ def _reverse_versions(spark, folder):
     return kernel.in_order(_plain(events_log(spark, folder)), reverse=True).limit(50)
 
 
+@_query("reverse_versions_all", f"WITH {_E} SELECT key, value, seqno, value_type FROM e ORDER BY key DESC, seqno")
+def _reverse_versions_all(spark, folder):
+    return kernel.in_order(_plain(events_log(spark, folder)), reverse=True)
+
+
 _SNAP = _live(where=f"seqno < {_CUT}")
 
 
