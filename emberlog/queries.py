@@ -19,7 +19,7 @@ from emberlog.functions.records import base36, size_of
 from emberlog.model import Bound
 from emberlog.operators import blocks, kernel, reads, statistics, writes
 from emberlog.plans import levels, pruning
-from emberlog.sources.derived import conversations_log, events_log, in_segments, orders_log, pages_log, table
+from emberlog.sources.derived import conversations_log, events_log, in_segments, orders_log, padded, pages_log, table
 from emberlog.sources.wal import import_log
 from emberlog.store import Store
 from emberlog.streaming import ingest
@@ -92,7 +92,7 @@ def _contains_one(spark, folder):
 
 
 def _customers(spark, folder):
-    return table(spark, folder, "customer").select(F.concat(F.lit("user/"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).cast("binary").alias("key"))
+    return table(spark, folder, "customer").select(F.concat(F.lit("user/"), padded("c_custkey", 6)).cast("binary").alias("key"))
 
 
 @_query("multi_get", f"WITH {_E}, {_live()}, probe AS (SELECT DISTINCT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS key FROM customer) SELECT key, value FROM live JOIN probe USING (key)")
@@ -481,7 +481,7 @@ def _assign(spark, folder):
 def _batch_apply(spark, folder):
     """Deletes a third of the customers in one batch on top of a snapshot's versions."""
     cut = _cut(spark, folder)
-    gone = _customers(spark, folder).join(table(spark, folder, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("user/"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).cast("binary").alias("key")), "key", "left_semi")
+    gone = _customers(spark, folder).join(table(spark, folder, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("user/"), padded("c_custkey", 6)).cast("binary").alias("key")), "key", "left_semi")
     batch = writes.batch(gone.withColumns({"value": F.lit(None).cast("binary"), "value_type": F.lit(1).cast("tinyint")}), cut)
     return reads.scan(kernel.merged(kernel.visible(events_log(spark, folder), cut), batch))
 
@@ -584,7 +584,7 @@ def _stream_ingest(spark, folder):
     reader = spark.readStream.schema(source.schema)
     rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder) if single else reader.parquet(f"{folder}/events.parquet")
     log = rows.select(
-        F.concat(F.lit("user/"), F.lpad(F.col("user_id").cast("string"), 6, "0")).cast("binary").alias("key"),
+        F.concat(F.lit("user/"), padded("user_id", 6)).cast("binary").alias("key"),
         F.when(F.col("event_type") != "error", F.coalesce("props", F.lit(""))).cast("binary").alias("value"),
         (F.col("event_type") == "error").cast("tinyint").alias("value_type"),
         "event_id",

@@ -148,3 +148,12 @@ def test_import_cuts_at_the_first_bad_line(spark, tmp_path):
     assert sorted(r["seqno"] for r in import_log(spark, f"{tmp_path}/a").collect()) == [0, 1]
     assert sorted(r["seqno"] for r in import_log(spark, str(tmp_path)).collect()) == [0, 1]
     assert sorted(r["seqno"] for r in import_log(spark, f"{tmp_path}/b").collect()) == [3]
+
+
+def test_long_numbers_keep_their_keys(spark, tmp_path):
+    from emberlog.sources.derived import conversations_log, events_log
+
+    spark.createDataFrame([(1, 123456, "x", "a"), (2, 1234567, "x", "b"), (3, 7, "x", "c")], "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, 1000, "u"), (1, 10001, "v")], "conv_id long, turn long, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(bytes(r["key"]) for r in events_log(spark, str(tmp_path)).collect()) == [b"user/000007", b"user/123456", b"user/1234567"]
+    assert sorted(bytes(r["key"]) for r in conversations_log(spark, str(tmp_path)).collect()) == [b"00000001/1000", b"00000001/10001"]
