@@ -352,6 +352,62 @@ def test_recall_of_spread_edits(size):
     assert want and found >= 0.98 * want
 
 
+def edited(rng, text, share):
+    out = list(text)
+    for at in sorted(rng.sample(range(len(text)), int(share * len(text))), reverse=True):
+        out[at : at + 1] = {0: [rng.choice("abcdefgh ")], 1: [], 2: [out[at], rng.choice("abcdefgh ")]}[rng.randrange(3)]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("how", [0.0, 0.05, 0.1, 0.2, "typo 3", "typo 2", "split 4", "split 2"])
+def test_decontamination_recall(spark, how):
+    """Against brute force, on the table's own items with edits planted between its documents' texts."""
+    rng = random.Random(str(how))
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()
+    around = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()]
+    items, found, want = decontaminate.Items.build([tuple(r) for r in bench]), 0, 0
+    for k, text in enumerate(items.texts[:120]):
+        if isinstance(how, float):
+            own = edited(rng, text, how)
+        else:
+            what, every = how.split()
+            own = text.split()
+            for i in range(0, len(own), int(every)):
+                at = rng.randrange(1, max(2, len(own[i])))
+                own[i] = own[i][: at - 1] + "q" + own[i][at:] if what == "typo" else f"{own[i][:at]} {own[i][at:]}"
+            own = " ".join(own)
+        if decontaminate.edit_distance(text, decontaminate.normalized([own])[0]) <= 0.2 * len(text):
+            want += 1
+            found += any(i == k for _, i, _ in decontaminate.leaks([f"{rng.choice(around)} {own} {rng.choice(around)}"], items))
+    assert want >= 100 and found >= 0.95 * want
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Every pair of a text and an item, with items of 2 to 90 words, long ones among them, and passes of few items."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    bench = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([2, 3, 5, 8, 12, 20, 40, 90, 300])]
+    own = [" ".join([word() for _ in range(20)] + [edited(rng, bench[k % 9][1], rng.choice([0, 0.1, 0.19]))] * (k % 3 > 0) + [word() for _ in range(20)]) for k in range(60)]
+    want = set()
+    for k, text in enumerate(own):
+        plain = decontaminate.normalized([text])[0]
+        for i, item in bench:
+            n = decontaminate.edit_distance(item, plain)
+            if n <= 0.2 * len(item):
+                want.add((k, i, n))
+    docs, items = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {tuple(r)[:3] for r in decontaminate.contaminated(docs, items).collect()}
+    assert {x[:2] for x in got} <= {x[:2] for x in want} and len(got & want) >= 0.95 * len(want)
+
+
+def test_decontamination_passes(spark, monkeypatch):
+    """Bounds that are lowered give the same rows."""
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = rows_of(decontaminate.contaminated(docs, bench))
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 3000)
+    assert want and rows_of(decontaminate.contaminated(docs, bench)) == want and decontaminate.keep_clean(docs, bench).count() == docs.count() - len({r[0] for r in want})
+
+
 # 9
 
 
