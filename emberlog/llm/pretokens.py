@@ -60,3 +60,8 @@ def pretoken_starts(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
             after = (q + size)[(q + size) < n]
             at[after] |= kind[after] == _LETTER  # else the run's end is a boundary already, or a blank's rule holds
     return np.flatnonzero(at)
+
+
+def is_word(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which pre-tokens are a blank and letters."""
+    return (cp[starts] == 32) & (ends - starts > 1) & (_classes()[cp[np.minimum(starts + 1, ends - 1)]] == _LETTER)

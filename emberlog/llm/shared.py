@@ -132,5 +132,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """
     up, down = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values.astype(np.uint64) + np.uint64(0x51ED270B)) * up[:-1], out=sums[1:])
+    spread = (values.astype(np.uint64) + np.uint64(0x51ED270B)) * np.uint64(0x9E6D62D06F6A9A9B)
+    spread ^= spread >> np.uint64(29)
+    spread *= up[:-1]
+    np.cumsum(spread, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])

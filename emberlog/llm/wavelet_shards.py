@@ -2,7 +2,8 @@
 
 A wavelet matrix has one row of bits for each bit of a symbol, the highest first; each row is stably sorted by the
 bit of the row above. With counts of ones for each block of a row, access, rank and select take one step a row and
-the file needs no other copy of the ids.
+the file needs no other copy of the ids. Symbols are ids' ranks among the distinct ids of the shard, so a shard has no
+more rows than its own ids need.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.pretokens import code_points, pretoken_starts
+from emberlog.llm.pretokens import code_points, is_word, pretoken_starts
 from emberlog.llm.shared import filesystem, new_path, span_hashes, steps
 
 MAGIC = b"EWM1"
@@ -30,30 +31,45 @@ BLOCK = 512
 SHARD_BYTES = 16 << 20
 #: Distinct pre-tokens that a worker keeps encoded.
 KEPT = 1 << 20
+#: Words that the library encodes in one text.
+TOGETHER = 512
 
 
 class WaveletMatrix:
-    """Succinct sequence of symbols below 2**levels."""
+    """Succinct sequence of ids: alphabet has the distinct ones in order, and rows the bits of their ranks in it."""
 
-    def __init__(self, n: int, levels: int, rows: np.ndarray, zeros: np.ndarray, ranks: np.ndarray):
-        self.n, self.levels, self.rows, self.zeros, self.ranks = n, levels, rows, zeros, ranks
+    def __init__(self, n: int, alphabet: np.ndarray, rows: np.ndarray, zeros: np.ndarray, ranks: np.ndarray):
+        self.n, self.alphabet, self.rows, self.zeros, self.ranks = n, alphabet, rows, zeros, ranks
+        self.levels = len(rows)
 
     @classmethod
-    def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray) -> WaveletMatrix:
         n = len(ids)
-        now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+        seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        seen[ids] = True
+        alphabet = np.flatnonzero(seen).astype(np.uint32) if n else np.zeros(0, np.uint32)
+        levels = max(1, (len(alphabet) - 1).bit_length()) if n else 0
+        kind = np.uint16 if levels <= 16 else np.uint32
+        code = np.zeros(len(seen), kind)
+        code[alphabet] = np.arange(len(alphabet), dtype=kind)
+        now = code[ids]
         width = -(-n // BLOCK) * BLOCK // 8
         rows, zeros = np.zeros((levels, width), np.uint8), np.zeros(levels, np.int64)
         ranks = np.zeros((levels, width * 8 // BLOCK + 1), np.uint32)
         for level in range(levels):
-            bit = (now >> (levels - 1 - level)) & 1 == 1
+            bit = (now & kind(1 << (levels - 1 - level))).view(kind) != 0
             packed = np.packbits(bit, bitorder="little")
             rows[level, : len(packed)] = packed
             np.cumsum(np.bitwise_count(rows[level]).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32), out=ranks[level, 1:])
             low = now[~bit]
             zeros[level] = len(low)
             now = np.concatenate([low, now[bit]])
-        return cls(n, levels, rows, zeros, ranks)
+        return cls(n, alphabet, rows, zeros, ranks)
+
+    def _code(self, symbol: int) -> int:
+        """The rank of an id in the alphabet; -1 if the sequence lacks it."""
+        k = int(np.searchsorted(self.alphabet, symbol))
+        return k if k < len(self.alphabet) and self.alphabet[k] == symbol else -1
 
     def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
         return (self.rows[level, at >> 3] >> (at & 7).astype(np.uint8)) & 1
@@ -74,16 +90,17 @@ class WaveletMatrix:
             bit, ones = self._bit(level, at), self._ones(level, at)
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
             out = out << 1 | bit
-        return out
+        return self.alphabet[out].astype(np.int64)
 
     def rank(self, symbol: int, at: int) -> int:
         """Occurrences of symbol before place at."""
-        if symbol >> self.levels or not self.n:
+        code = self._code(symbol)
+        if code < 0:
             return 0
         low, high = 0, at
         for level in range(self.levels):
             ones = self._ones(level, np.array([low, high]))
-            low, high = (self.zeros[level] + ones if symbol >> (self.levels - 1 - level) & 1 else np.array([low, high]) - ones).tolist()
+            low, high = (self.zeros[level] + ones if code >> (self.levels - 1 - level) & 1 else np.array([low, high]) - ones).tolist()
         return high - low
 
     def count(self, symbol: int) -> int:
@@ -93,13 +110,13 @@ class WaveletMatrix:
         """Where the k-th occurrence (from 0) of symbol is; -1 if there are fewer."""
         if k < 0 or k >= self.count(symbol):
             return -1
-        low = 0
+        low, code = 0, self._code(symbol)
         for level in range(self.levels):
             ones = int(self._ones(level, np.array([low]))[0])
-            low = int(self.zeros[level]) + ones if symbol >> (self.levels - 1 - level) & 1 else low - ones
+            low = int(self.zeros[level]) + ones if code >> (self.levels - 1 - level) & 1 else low - ones
         at = low + k
         for level in reversed(range(self.levels)):
-            if symbol >> (self.levels - 1 - level) & 1:
+            if code >> (self.levels - 1 - level) & 1:
                 at = self._select_bit(level, at - int(self.zeros[level]), 1)
             else:
                 at = self._select_bit(level, at, 0)
@@ -117,21 +134,22 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence: each row is put back into the order of the one above it, from the lowest up."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level in reversed(range(self.levels)):
-            bit = np.unpackbits(self.rows[level], bitorder="little")[: self.n].view(bool)
+            bit = np.unpackbits(self.rows[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
             above[~bit] = out[: self.zeros[level]]
-            above[bit] = out[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            above[bit] = out[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             out = above
-        return out
+        return self.alphabet[out]
 
 
 def pack(wavelet: WaveletMatrix, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
     """A file: magic, size of the head, head (JSON), then the compressed parts that the head names."""
     parts = {
         "doc_ids": np.array([0 if x is None else x for x in doc_ids], np.int64), "nulls": np.array([x is None for x in doc_ids], np.uint8),
-        "ends": ends.astype(np.int64), "zeros": wavelet.zeros, "ranks": wavelet.ranks, "rows": wavelet.rows,
+        "ends": ends.astype(np.int64), "alphabet": wavelet.alphabet, "zeros": wavelet.zeros, "ranks": wavelet.ranks, "rows": wavelet.rows,
     }
     squeeze = zstandard.ZstdCompressor(level=1)
     packed = {k: squeeze.compress(np.ascontiguousarray(v).tobytes()) for k, v in parts.items()}
@@ -150,36 +168,58 @@ def unpack(raw: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
         at += size
     get = lambda name, kind: np.frombuffer(parts[name], kind)
     levels = head["levels"]
-    wavelet = WaveletMatrix(head["n"], levels, get("rows", np.uint8).reshape(levels, -1), get("zeros", np.int64), get("ranks", np.uint32).reshape(levels, -1))
+    rows, ranks = (get(name, kind).reshape(levels, -1) if levels else np.zeros((0, 0), kind) for name, kind in (("rows", np.uint8), ("ranks", np.uint32)))
+    wavelet = WaveletMatrix(head["n"], get("alphabet", np.uint32), rows, get("zeros", np.int64), ranks)
     return wavelet, [None if z else x for x, z in zip(get("doc_ids", np.int64).tolist(), get("nulls", np.uint8))], get("ends", np.int64)
 
 
 @lru_cache(1)
 def tokenizer(path: str):
-    """The tokenizers library's tokenizer; the strings of special tokens in a text are ordinary text."""
+    """The tokenizers library's tokenizer, as it comes."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
 
 
 class PretokenEncoder:
     """Encodes texts with the tokenizers library, each distinct pre-token once.
 
     Merges never cross pre-tokens, so the ids of a text are its pre-tokens' ids one after another. Pre-tokens are
-    told apart by a 64-bit hash of their code points and their length.
+    told apart by a 64-bit hash of their code points and their length. A text that holds the string of an added token,
+    which the library takes out before it pre-tokenises, goes to the library as a whole.
     """
 
     def __init__(self, path: str):
-        self.path, self.library, self.rows, self.flat, self.used = path, tokenizer(path), {}, np.zeros(1 << 16, np.uint32), 0
+        self.path, self.library = path, tokenizer(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        vocabulary = self.library.get_vocab()
+        #: Ids of tokens that begin with a blank.
+        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.blank[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start, with the end)."""
-        if len(self.rows) > KEPT:
+        whole = "".join(texts)
+        if not any(t in whole for t in self.added):
+            return self._encode(texts, whole)
+        own = [k for k, x in enumerate(texts) if any(t in x for t in self.added)]
+        rest = [*texts]
+        for k in own:
+            rest[k] = ""
+        ids, starts = self._encode(rest, "".join(rest))
+        found = [np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.uint32) for k in own]
+        sizes = [len(x) for x in found]
+        more = np.zeros(len(starts), np.int64)
+        more[np.array(own) + 1] = sizes
+        return np.insert(ids, np.repeat(starts[own], sizes), np.concatenate(found)), starts + np.cumsum(more)
+
+    def _encode(self, texts: list[str], whole: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) > KEPT:
             self.__init__(self.path)
         cp, text_starts = code_points(texts)
         at = pretoken_starts(cp, text_starts)
@@ -187,27 +227,51 @@ class PretokenEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(at[1:], len(cp))
         hashes = span_hashes(cp, at, ends) + (ends - at).astype(np.uint64)
-        _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys, whole = hashes[where].tolist(), "".join(texts)
-        new = [k for k, h in enumerate(keys) if h not in self.rows]
-        if new:
-            got = self.library.encode_batch_fast([whole[at[where[k]] : ends[where[k]]] for k in new], add_special_tokens=False)
-            for k, x in zip(new, got):
-                self._keep(keys[k], x.ids)
-        spans = np.array([self.rows[h] for h in keys], np.int64)
-        sizes = spans[back, 1]
+        keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        new = np.append(self.keys, np.uint64(0))[place] != keys
+        new |= place == len(self.keys)
+        if new.any():
+            self._keep(keys[new], place[new], at[where[new]], ends[where[new]], whole, cp)
+            place += np.cumsum(new) - new
+        own, sizes = self.at[place], self.size[place][back]
         cum = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=cum[1:])
-        ids = self.flat[np.repeat(spans[back, 0] - cum[:-1], sizes) + np.arange(cum[-1])]
+        ids = self.flat[np.repeat(own[back] - cum[:-1], sizes) + np.arange(cum[-1])]
         return ids, cum[np.searchsorted(at, text_starts)]
 
-    def _keep(self, key: int, ids: list[int]) -> None:
+    def _keep(self, keys: np.ndarray, place: np.ndarray, at: np.ndarray, ends: np.ndarray, whole: str, cp: np.ndarray) -> None:
+        ids, sizes = self._library(at, ends, whole, is_word(cp, at, ends))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.rows[key] = (self.used, len(ids))
+        self.keys = np.insert(self.keys, place, keys)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, place, sizes)
         self.used += len(ids)
 
+    def _library(self, at: np.ndarray, ends: np.ndarray, whole: str, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each pre-token has). Words with their blank are encoded side by side, many in one text: they
+        stay pre-tokens of their own there, and the tokens that begin with a blank tell where each begins."""
+        pieces = [whole[a:b] for a, b in zip(at.tolist(), ends.tolist())]
+        words, rest = np.flatnonzero(word).tolist(), np.flatnonzero(~word).tolist()
+        lines = ["".join(map(pieces.__getitem__, words[i : i + TOGETHER])) for i in range(0, len(words), TOGETHER)]
+        ids = np.array([k for x in self.library.encode_batch_fast(lines, add_special_tokens=False) for k in x.ids], np.uint32)
+        first = np.flatnonzero(self.blank[ids])
+        if len(first) != len(words):  # the library sees other letters
+            words, rest, ids, first = [], range(len(pieces)), ids[:0], first[:0]
+        alone = [x.ids for x in self.library.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)]
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[words] = np.diff(np.append(first, len(ids)))
+        sizes[rest] = [len(x) for x in alone]
+        ends = np.cumsum(sizes)
+        out, in_word = np.zeros(int(ends[-1]), np.uint32), np.zeros(len(pieces), bool)
+        in_word[words] = True
+        flags = np.repeat(in_word, sizes)
+        out[flags] = ids
+        out[~flags] = [k for x in alone for k in x]
+        return out, sizes
+
 
 @lru_cache(1)
 def pretoken_encoder(path: str) -> PretokenEncoder:
@@ -223,7 +287,6 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, shard_
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(-(-total // shard_bytes)) or 1
-    levels = max(16, end_id.bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, doc_ids, all_ids, sizes = pretoken_encoder(tokenizer_path), [], [], []
@@ -237,7 +300,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, shard_
             return
         ids, shard = np.concatenate(all_ids), TaskContext.get().partitionId()
         all_ids.clear()
-        raw = pack(WaveletMatrix.build(ids, max(levels, int(ids.max()).bit_length())), doc_ids, np.cumsum(sizes))
+        raw = pack(WaveletMatrix.build(ids), doc_ids, np.cumsum(sizes))
         files, path = filesystem(folder)
         files.create_dir(path, recursive=True)
         temporary = f"{path}/.{shard:06d}.{TaskContext.get().taskAttemptId()}"

@@ -217,7 +217,7 @@ def test_wavelet():
     rng = np.random.default_rng(2)
     for n in (0, 1, 511, 512, 513, 3000):
         ids = rng.integers(0, 50, n).astype(np.uint32)
-        own, _, _ = wavelet_shards.unpack(wavelet_shards.pack(wavelet_shards.WaveletMatrix.build(ids, 16), [], np.zeros(0)))
+        own, _, _ = wavelet_shards.unpack(wavelet_shards.pack(wavelet_shards.WaveletMatrix.build(ids), [], np.zeros(0)))
         assert (own.all() == ids).all() and (own.access(np.arange(n)) == ids).all()
         for symbol in (0, 7, 49, 50, 70000):
             places = np.flatnonzero(ids == symbol).tolist()
@@ -226,7 +226,9 @@ def test_wavelet():
 
 
 def library_rows(pairs):
-    tokenizer, out, start = wavelet_shards.tokenizer(queries.tokenizer("byte_bpe_50k.json")), [], 0
+    from tokenizers import Tokenizer
+
+    tokenizer, out, start = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json")), [], 0
     for i, t in pairs:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -242,6 +244,21 @@ def test_shards(docs, texts, edges, nothing):
     assert wavelet_shards.digests(nothing, path).count() == 0
 
 
+def test_shards_with_added_tokens(spark, monkeypatch):
+    """Texts that hold the special token's string, long ones, and a worker that forgets what it kept."""
+    rng = random.Random(9)
+    parts = ["<|endoftext|>", "<|endoftext", " a", "word", " naïve", "\n\n", "1234", " 's", "'s", "ω😀", "  ", " Ġ"]
+    own = [(k, "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 5, 40, 4000])))) for k in range(80)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    path = queries.tokenizer("byte_bpe_50k.json")
+    assert rows_of(wavelet_shards.digests(df, path)) == sorted(library_rows(own), key=repr)
+    encoder = wavelet_shards.PretokenEncoder(path)
+    monkeypatch.setattr(wavelet_shards, "KEPT", 3)
+    for k in range(0, 80, 10):
+        ids, starts = encoder.encode([t for _, t in own[k : k + 10]])
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [wavelet_shards.tokenizer(path).encode(t, add_special_tokens=False).ids for _, t in own[k : k + 10]]
+
+
 def test_pretokens():
     import regex
 
