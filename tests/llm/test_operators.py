@@ -177,6 +177,68 @@ def test_surrogate_edges(edges, nothing):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_surrogates_leave_nothing(spark):
+    """Letters of all scripts, later mentions of names, phones in pairs, IPv6; true check digits; what only looks like data."""
+    own = ["李明@例子.com", "ŁŁĄĘ@x.pl", "किरण@दफ्तर.in", "محمد@بريد.sa", "𐍈𐍉@x.org", "Ülkü.Şahin@posta.com.tr", "αλέξης@ταχυδρομείο.gr"]
+    names = ["Mrs Anna Lee came. Anna Lee left, Lee's bag; Anna, LEEWAY. Mr Łukasz Żak met Żak and Dr Lee.", "Anna Lee left"]
+    numbers = ["+33 6 12 34 56 78", "06 12 34 56 78", "fe80::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00"]
+    same = ["number 4111111111111112 here", "version 1.2.3.4 is out", "std::vector at 12:30:45", "Anna Lee"]
+    got = swapped(spark, *own, *names, *numbers, *same)
+    for entity, new in zip(own, got):
+        name, host = entity.split("@")
+        assert new.count("@") == 1 and new.endswith(".example") and name not in new and host not in new
+    assert not set("李明例子") & set(got[0]) and len(got[0].split("@")[0]) == 2 and len(got[1].split("@")[0]) == 4
+    text, alone = got[len(own) : len(own) + 2]
+    assert not any(x in text for x in ("Anna", "Lee", "Żak", "Łukasz")) and "LEEWAY" in text and alone == "Anna Lee left"
+    first, last = text.split()[1:3]
+    last = last.rstrip(".")
+    assert text.count(first) == 3 and text.count(last) == 4 and f"{last}'s bag" in text
+    *phones, card, iban, bad = got[len(own) + 2 : len(own) + 9]
+    assert phones[0].startswith("+33 ") and not set(phones) & set(numbers) and [len(x) for x in phones] == [len(x) for x in numbers[:4]]
+    luhn = lambda x: sum(int(c) if k % 2 == 0 else (int(c) * 2 - 9 * (int(c) > 4)) for k, c in enumerate(reversed(x))) % 10
+    assert card != numbers[4] and luhn(card.replace(" ", "")) == 0
+    mod = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
+    assert mod(iban) == 1 and mod(bad) != 1 and iban[:2] == "DE" and iban[5:] == bad[5:] and iban[2:4] != bad[2:4]
+    assert got[-4:] == same
+
+
+def test_surrogates_of_the_table(spark):
+    """Against a search by another engine: what isn't an entity stays, equal ones become equal, distinct ones distinct."""
+    import regex
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    new, shape = {r["doc_id"]: r for r in pii_surrogates.surrogates(rows).collect()}, regex.compile(pii_surrogates.PATTERN)
+    seen, n = {}, 0
+    for doc_id, text in ((r["doc_id"], r["text"]) for r in rows.collect()):
+        places, at, out = [m.span() for m in shape.finditer(text)], 0, new[doc_id]["text"]
+        for a, b in places:
+            assert out[at : at + a - (places[places.index((a, b)) - 1][1] if places.index((a, b)) else 0)] == text[(places[places.index((a, b)) - 1][1] if places.index((a, b)) else 0) : a]
+            at += a - (places[places.index((a, b)) - 1][1] if places.index((a, b)) else 0)
+            size = b - a + (8 if "@" in text[a:b] else 0)
+            got = out[at : at + size]
+            if "." in got and "@" not in got:  # an address may get longer or shorter
+                got = regex.match(r"[0-9.]*[0-9]", out[at:]).group() if regex.fullmatch(r"[0-9.]+", text[a:b]) else got
+                size = len(got)
+            assert seen.setdefault(text[a:b], got) == got
+            at, n = at + size, n + (got != text[a:b])
+        assert out[at:] == text[places[-1][1] if places else 0 :]
+    assert n > 30 and len(set(seen.values())) == len(seen) and sum(r["n_entities"] for r in new.values()) == n
+    assert pii_surrogates.clashes(rows).count() == 0
+
+
+def test_no_clashes(spark):
+    names = [f"{a}{b}{c}{end}" for a in "BK" for b in "ae" for c in "ns" for end in ("", "a", "lina", "son", "rik")]
+    rows = [(k, f"Mrs {x} Lee, Mr {x} Lee, Dr {x}; {x.lower()}@mail.com, 4{k:015d}, +1 (017) 555-{k:04d}") for k, x in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii_surrogates.clashes(df).count() == 0 and pii_surrogates.clashes(df.where("false")).count() == 0
+    nulls = df.selectExpr("doc_id", "cast(null as string) as text")
+    twice = [r["text"] for r in pii_surrogates.surrogates(df.union(df).union(nulls)).collect() if r["text"]]
+    assert collections.Counter(collections.Counter(twice).values()) == {2: len(names)}
+    long = " ".join(t for _, t in rows) * 8
+    (got,) = pii_surrogates.surrogates(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+    assert got["n_entities"] >= 8 * 40 * 5 and "mail.com" not in got["text"]
+
+
 # 5
 
 
