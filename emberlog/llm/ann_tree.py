@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,9 @@ def _best(scores: np.ndarray, ids: list[list[int]], least: np.ndarray, vectors:
     k = min(top, len(scores))
     border = np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * (1 + abs(scores).max())
     near = np.flatnonzero(scores >= border)
-    exact = (vectors[near] * query).sum(1)
+    exact = np.zeros(len(near))
+    for column, x in zip(vectors[near].T, query):  # component by component, as SQL adds up
+        exact += column * x
     order = np.lexsort((least[near], -exact))[:top]
     found = [(-float(exact[o]), i) for o in order for i in ids[near[o]]]
     return [(-s, i) for s, i in sorted(found)[:top]]
@@ -112,13 +115,16 @@ def _pairs(batch: list[tuple[float, int]]) -> dict[str, list]:
 
 
 def valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: an id, no null or non-finite component, not zero, the commonest length."""
+    """(vec_id, v) of the rows that take part: an id, a vector that isn't empty or zero, no null or non-finite component."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False)))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False)))
+
+
+def sampled(rows: DataFrame, column: str, share: float, salt: int = 0) -> DataFrame:
+    """The rows whose hashed column falls into a share of 62 bits, fine enough for any number of rows."""
+    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 62)) < int(share * (1 << 62)))
 
 
 def search(
@@ -130,10 +136,17 @@ def search(
     Queries are rows whose id is divisible by `every`. Ties go to the smaller id; fewer candidates give fewer rows;
     an empty table gives none. Rows that `valid` leaves out take no part. Equal vectors are one entry of the index
     that carries its top + 1 smallest ids, which is all of it that any result can hold, so copies make no leaf or
-    query heavy. Rows that repeat an id are candidates and queries of their own.
+    query heavy. Rows that repeat an id are candidates and queries of their own. Vectors of each length are a
+    collection of their own, as there is no inner product between lengths. Other columns aren't read.
     """
-    spark, more = vectors.sparkSession, top + 1
     rows = written(valid(vectors, id_column, vector_column).withColumn("h", F.xxhash64("v")), "vectors")
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect()) or [0]
+    found = [_searched(rows.where(F.size("v") == n), top, every, recall, sample, leaf) for n in lengths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _searched(rows: DataFrame, top: int, every: int, recall: float, sample: int, leaf: int) -> DataFrame:
+    spark, more = rows.sparkSession, top + 1
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("nth") <= more)
     entries = first.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = written(entries.withColumn("entry", F.element_at("ids", 1)), "entries")
@@ -141,7 +154,9 @@ def search(
     asked = written(asked.select("query_id", "entry", "v"), "queries")
     queries = asked.dropDuplicates(["entry"]).select("entry", "v")
     n = entries.count()
-    chosen = entries.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))).select("v").limit(2 * sample).toPandas()["v"]
+    chosen = sampled(entries, "h", sample / max(n, 1)).select("v").limit(2 * sample).toPandas()["v"]
+    if n and not len(chosen):
+        raise ValueError("an empty sample can't fit the tree")
     fitted = fit(np.array(chosen.tolist(), np.float64) if len(chosen) else np.zeros((0, 1)), min(LEAVES, max(1, n // leaf)))
     tree = spark.sparkContext.broadcast(fitted)  # LEAVES bounds it
     visits = _calibrated(entries, queries, fitted, more, recall) if n else 1
@@ -168,24 +183,28 @@ def search(
     )
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, []  # a cell's vectors stand before its queries
         matrix, least, ids = np.zeros((0, 0)), np.zeros(0, np.int64), []
         for batch in batches:
             out_entry, out = [], []
-            for leaf_, block, kind, entry, own_ids, v in zip(*(batch.column(c).to_pylist() for c in ("leaf", "block", "kind", "entry", "ids", "v"))):
-                if (leaf_, block) != now:
-                    now, held, ids = (leaf_, block), [], []
-                if kind == 0:
-                    held.append(v)
-                    ids.append(own_ids)
+            if not batch.num_rows:
+                continue
+            leaves, blocks, kinds = (batch.column(c).to_numpy() for c in ("leaf", "block", "kind"))
+            v, entries_ = _matrix(batch.column("v")), batch.column("entry").to_pylist()
+            edge = np.flatnonzero((np.diff(leaves) != 0) | (np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(leaves)]):
+                if (leaves[a], blocks[a]) != now:
+                    now, held, ids = (leaves[a], blocks[a]), [], []
+                if kinds[a] == 0:
+                    held.append(v[a:b])
+                    ids += batch.column("ids").slice(a, b - a).to_pylist()
                     continue
-                if len(held) != len(matrix) or held:
-                    if held:
-                        matrix, least, held = np.array(held), np.array([x[0] for x in ids]), []
-                if ids:
-                    query = np.array(v)
-                    out_entry.append(entry)
-                    out.append(_pairs(_best(matrix @ query, ids, least, matrix, query, more)))
+                if held:
+                    matrix, least, held = np.concatenate(held), np.array([x[0] for x in ids]), []
+                for i in range(a, b, BLOCK) if ids else ():
+                    few = v[i : min(b, i + BLOCK)]
+                    out_entry += entries_[i : i + len(few)]
+                    out += [_pairs(_best(scores, ids, least, matrix, query, more)) for scores, query in zip(few @ matrix.T, few)]
             yield _found(out_entry, out)
 
     dealt = left.unionByName(right).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind", "entry")
@@ -223,9 +242,10 @@ def _found(entries: list[int], near: list[dict]) -> pa.RecordBatch:
 def _calibrated(entries: DataFrame, queries: DataFrame, tree: Tree, more: int, recall: float) -> int:
     """Leaves to visit so that the share of true neighbours found reaches recall, measured over all vectors."""
     n = queries.count()
-    few = queries.where(F.pmod(F.xxhash64("entry", F.lit(3)), F.lit(1 << 20)) < int(min(1.0, CALIBRATION / max(n, 1)) * (1 << 20)))
-    few = few.limit(2 * CALIBRATION).collect()
+    few = sampled(queries, "entry", CALIBRATION / max(n, 1), 3).limit(2 * CALIBRATION).collect()
     if not few:
+        if n:
+            raise ValueError("an empty sample can't calibrate the visits")
         return 1
     asked = np.array([r["v"] for r in few], np.float64)
 
@@ -253,3 +273,17 @@ def _calibrated(entries: DataFrame, queries: DataFrame, tree: Tree, more: int, r
     while visits < n_leaves and np.searchsorted(needs, visits, "right") < recall * len(needs):
         visits += 1
     return visits
+
+
+def sql(top: int = 20, every: int = 20) -> str:
+    """The exact neighbours for DuckDB: what a search that misses none returns."""
+    return f"""
+WITH fine AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.r AS q, q.vec_id AS query_id, c.r, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM fine q JOIN fine c ON len(q.v) = len(c.v) AND q.r <> c.r WHERE q.vec_id % {every} = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= {top}"""
