@@ -339,7 +339,8 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY,
 
     A null text is empty. Texts shorter than length lose nothing. Two rows with the same text of that length or more
     lose all of it, whatever their doc_ids; a null doc_id is a document like any other. kept holds the bytes that are
-    left, which need not be whole characters.
+    left, which need not be whole characters. Whole texts are read, however long; an empty table gives no row and
+    other columns aren't read.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("text_key", F.xxhash64("text"))
@@ -366,3 +367,22 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY,
     joined_ = own.join(spans, own["doc_id"].eqNullSafe(spans["_d"]) & (own["text_key"] == spans["_k"]), "left").select("doc_id", "text", "spans")
     out = joined_.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
+
+
+def sql(length: int = LENGTH) -> str:
+    """The same for DuckDB: every string of `length` bytes, by the MD5 of its bytes."""
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT r, i, md5(substr(h, 2 * i - 1, {2 * length})) AS s FROM docs, unnest(range(1, n - {length - 2})) AS t(i)),
+often AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT r, i FROM strings SEMI JOIN often USING (s)),
+parted AS (SELECT r, i, coalesce(i - lag(i) OVER w > {length}, true) AS new FROM hits WINDOW w AS (PARTITION BY r ORDER BY i)),
+numbered AS (SELECT r, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS k FROM parted),
+spans AS (SELECT r, k, min(i) AS a, max(i) + {length} AS b FROM numbered GROUP BY r, k),
+placed AS (SELECT r, k, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY k), 1) AS before FROM spans),
+gone AS (
+  SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS stop, string_agg(substr(h, 2 * before - 1, 2 * (a - before)), '' ORDER BY k) AS kept
+  FROM placed JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * stop - 1) END)) AS kept_sha256
+FROM docs LEFT JOIN gone USING (r)"""
