@@ -117,21 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """Trains on at most about `rows` labelled documents that aren't held out.
 
     They are chosen by a hash of doc_id with a threshold from the number of labels, so that their number is bounded
-    at any size. Labels that contradict each other for a doc_id are averaged; null labels are left out. The sample
-    is small enough to broadcast, and so the texts aren't shuffled.
+    at any size. Labels that contradict each other for a doc_id are averaged; null labels are left out. Of documents
+    that share a doc_id the least text is taken, so that no doc_id brings more than one row to the driver. The sample
+    is small enough to broadcast, and so the texts aren't shuffled. Without labelled rows the model knows nothing and
+    gives one half.
     """
     known = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~is_held_out(F.col("doc_id")))
     n = known.count()
     share = min(1.0, rows / max(n, 1))
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    few = known if share == 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < int(share * (1 << 62)))
     few = few.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
-    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "_label").toPandas()
-    found = found.sort_values(["doc_id", "text"]).head(2 * rows)
+    both = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    found = both.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label")).limit(4 * rows).toPandas().sort_values("doc_id")
     return train([x or "" for x in found["text"]], found["_label"].tolist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row; a null text is an empty one."""
+    """(doc_id, held_out, score, predicted) of each row, repeated rows included; an empty table gives none.
+
+    A null text is an empty one and gets the score that no features give. Whole texts are scored, however long; other
+    columns aren't read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**17 floats, whatever the input's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +154,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with their own columns, that the model doesn't reject (score >= 0.5)."""
+    """The rows of docs, with their own columns, that the model doesn't reject (score >= 0.5).
+
+    Null texts are judged like empty ones; repeated rows are kept or dropped alike.
+    """
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
