@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from emberlog.llm.shared import steps
 
 #: Code points of a chunk, and of its overlap with the next one.
-CHUNK, OVERLAP = 1 << 16, 1 << 9
+CHUNK, OVERLAP = 1 << 12, 1 << 8
 
 
 @lru_cache(2)
@@ -123,7 +123,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes each text, decodes its ids, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
 
     Both steps run in one pass, so that ids are neither shuffled nor sent between processes.
-    A null text counts as empty (no tokens, digests of nothing); repeated rows give repeated rows.
+    A null text counts as empty (no tokens, digests of nothing); repeated rows give repeated rows and an empty table
+    none. Texts of more than a chunk are cut and stitched, however long. Other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
