@@ -135,10 +135,14 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
 
 
 def digests(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, broken_at, read from the output."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, broken_at, read from the output.
+
+    Turns and loss are both told from the formatted text by its marks. Repeated rows are turns of their own, ties of
+    turn stand in order of role and text, texts may be of any length, and an empty table gives no row.
+    """
     done = read_back(format_turns(conversations, template), template)
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    lost = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    lost = F.array_join(F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"]), "")
     df = done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), lost.alias("lost"), "formatted", "valid", "broken_at")
     return df.select(
         "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"),
