@@ -50,7 +50,7 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{probe}'), (-7L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
     return chat_format.digests(rows.unionByName(extra))
 
 
@@ -110,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {"op7_chat_format": _sql_op7(), "op9_minhash_dedup": minhash_dedup.sql(), "op10_url_filter": url_filter.sql()}
+ORACLES: dict[str, str] = {"op1_ann_tree": ann_tree.sql(), "op2_suffix_dedup": suffix_dedup.sql(), "op7_chat_format": _sql_op7(), "op9_minhash_dedup": minhash_dedup.sql(), "op10_url_filter": url_filter.sql()}

@@ -75,11 +75,31 @@ def test_neighbours(spark):
         found += len({i for i, _, _ in near} & {i for i, _ in want[q][0]})
     assert found / (20 * len(want)) >= 0.9
     assert [i for i, _, _ in got[0]][:20] == list(range(700, 720))  # ties go to the smaller id
+    short = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(50)] + [(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    both = ann_tree.search(short.unionByName(df.where("vec_id < 30").select("vec_id", "embedding"))).collect()
+    of_short = [(r["rank"], r["vec_id"]) for r in both if r["query_id"] == 40]
+    assert of_short == [(k + 1, j) for k, j in enumerate([j for j in range(49, 28, -1) if j != 40][:20])]  # each length is a collection
     few = df.where("vec_id < 4")
     assert [(r["rank"], r["vec_id"]) for r in ann_tree.search(few).orderBy("rank").collect()] == [(k + 1, j) for k, (j, _) in enumerate(brute_neighbours(vectors[:4])[0][0])]
     assert ann_tree.search(df.where("false")).count() == 0
 
 
+def test_recall_on_the_table(spark):
+    """The result's recall on a whole table, with many leaves."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], list(r["embedding"]) if r["embedding"] is not None else None) for r in vectors.collect()]
+    want, found = brute_neighbours(rows), 0
+    for r in ann_tree.search(vectors, leaf=32).collect():
+        found += any(r["vec_id"] == i for i, _ in want[r["query_id"]][0])
+    assert found >= 0.9 * sum(len(x[0]) for x in want.values())
+
+
+def test_samples_of_huge_tables(spark):
+    """A share far below 2**-20 still takes its part: here by 62 bits, of ids that are dense enough."""
+    ids = spark.range(1 << 22).toDF("entry")
+    assert 1 <= ann_tree.sampled(ids, "entry", 8 / (1 << 22)).count() <= 40 and ann_tree.sampled(ids, "entry", 1.0).count() == 1 << 22
+
+
 # 2
 
 
@@ -344,8 +364,10 @@ def test_chat(spark):
     assert [(t["role"], t["text"]) for t in done[2]["turns"]] == [("assistant", probe), ("", "x<<TEXT>>"), ("tool<</ROLE>>", "é😀")]
     assert (done[1]["valid"], done[1]["broken_at"]) == (True, None) and (done[2]["valid"], done[2]["broken_at"]) == (False, 0) and not done[None]["valid"]
     got = {r["conv_id"]: r for r in chat_format.digests(df).collect()}
-    assert got[1]["loss_chars"] == 8 and got[1]["loss_sha256"] == hashlib.sha256(b"a\\b<s>\\").hexdigest() if len("a\\b<s>\\") == 8 else got[1]["loss_chars"] == len("a\\b<s>\\")
+    assert got[1]["loss_chars"] == 7 and got[1]["loss_sha256"] == hashlib.sha256(b"a\\b<s>\\").hexdigest()
     assert got[2]["turns_sha256"] == hashlib.sha256(f"assistant\n{probe}\n\nx<<TEXT>>\ntool<</ROLE>>\né😀\n".encode()).hexdigest()
+    twice = {r["conv_id"]: r for r in chat_format.digests(df.union(df).selectExpr("conv_id", "turn", "role", "repeat(text, 20000) as text")).collect()}
+    assert twice[1]["n_turns"] == 6 and twice[1]["loss_sha256"] == hashlib.sha256(b"a\\b<s>\\" * 40000).hexdigest()
     assert chat_format.digests(df.where("false")).count() == 0
     assert "Python" not in chat_format.digests(df)._jdf.queryExecution().executedPlan().toString()
 
