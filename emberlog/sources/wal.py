@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import threading
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from emberlog.functions.records import value_type_of
 from emberlog.model import Entry, InvalidRecord
 from emberlog.sources.files import sync_folder
 
+#: Seconds between syncs.
+SYNC_SECONDS = 1.0
 SCHEMA = "k string, v string, s long, t tinyint"
 #: A key or value that isn't UTF-8 text stands in base 64 behind this sign, and text that begins with it does too.
 ESCAPE = "\x00b64:"
@@ -47,15 +50,26 @@ def entry_of(line: str) -> Entry | None:
 
 
 class Wal:
-    """Append, sync, truncate and replay. It holds a write buffer's entries at most, so the driver reads it."""
+    """Append, sync, truncate and replay. It holds a write buffer's entries at most, so the driver reads it.
 
-    def __init__(self, path: str):
+    What was appended is on the disk after SYNC_SECONDS at most: a thread syncs the file when there is anything new.
+    """
+
+    def __init__(self, path: str, seconds: float = SYNC_SECONDS):
         self.path = path
         entries, good = self.replay(path)
         self.recovered = entries
         if os.path.exists(path) and good < os.path.getsize(path):
             os.truncate(path, good)  # what stands behind the first bad line would come back after the next append
         self._file = open(path, "ab")
+        self._lock, self._new, self._closed = threading.Lock(), False, threading.Event()
+        self._syncs = threading.Thread(target=self._sync_often, args=(seconds,), daemon=True)
+        self._syncs.start()
+
+    def _sync_often(self, seconds: float) -> None:
+        while not self._closed.wait(seconds):
+            if self._new:
+                self.sync()
 
     @staticmethod
     def replay(path: str) -> tuple[list[Entry], int]:
@@ -75,21 +89,37 @@ class Wal:
         return entries, good
 
     def append(self, entries: Iterable[Entry]) -> None:
-        self._file.write("".join(line_of(e) + "\n" for e in entries).encode("utf-8"))
-        self._file.flush()
+        with self._lock:
+            self._file.write("".join(line_of(e) + "\n" for e in entries).encode("utf-8"))
+            self._file.flush()
+            self._new = True
+
+    @property
+    def is_synced(self) -> bool:
+        return not self._new
 
     def sync(self) -> None:
-        self._file.flush()
-        os.fsync(self._file.fileno())
+        with self._lock:
+            self._sync()
+
+    def _sync(self) -> None:
+        if not self._file.closed:
+            self._file.flush()
+            os.fsync(self._file.fileno())
+            self._new = False
 
     def truncate(self) -> None:
-        self._file.truncate(0)
-        self._file.seek(0)
-        self.sync()
+        with self._lock:
+            self._file.truncate(0)
+            self._file.seek(0)
+            self._sync()
         sync_folder(os.path.dirname(self.path) or ".")
 
     def close(self) -> None:
-        self._file.close()
+        self._closed.set()
+        with self._lock:
+            self._file.close()
+        self._syncs.join()
 
 
 def import_log(spark: SparkSession, path: str) -> DataFrame:
