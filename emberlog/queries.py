@@ -593,6 +593,59 @@ def _stream_ingest(spark, folder):
     return store.iter()
 
 
+# -- the row-wise write path, over the whole of the small table nation
+
+_WRITTEN = """
+WITH n AS (SELECT 'nation/' || n_nationkey AS key, n_name, n_regionkey AS r FROM nation)
+SELECT key, CASE WHEN r = 1 THEN n_name || '!' ELSE n_name END AS value FROM n WHERE r <> 0 ORDER BY key"""
+
+
+def _written(spark: SparkSession, folder: str) -> Store:
+    """Inserts each nation, removes those of region 0 one by one and overwrites those of region 1 in one batch."""
+    store = Store.create(spark, _new_folder(spark))
+    rows = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # 25 rows by the benchmark's definition
+    for key, name, _ in rows:
+        store.insert(f"nation/{key}", name)
+    for key, _, region in rows:
+        if region == 0:
+            store.remove(f"nation/{key}")
+    store.apply([("put", f"nation/{key}", f"{name}!") for key, name, region in rows if region == 1])
+    return store
+
+
+@_query("buffer_writes", _WRITTEN)
+def _buffer_writes(spark, folder):
+    return _written(spark, folder).iter()
+
+
+@_query("sealed_and_flushed_writes", _WRITTEN)
+def _flushed_writes(spark, folder):
+    """The removals and overwrites are flushed from a sealed buffer, and the table is read from segments alone."""
+    store = _written(spark, folder)
+    store.rotate()
+    store.flush()
+    return store.iter()
+
+
+@_query("replayed_writes", _WRITTEN)
+def _replayed_writes(spark, folder):
+    """The store is closed with all of it in the log, and opened again."""
+    store = _written(spark, folder)
+    store.close()
+    return Store.open(spark, store.config.path).iter()
+
+
+@_query("buffer_versions", """
+WITH n AS (SELECT 'nation/' || n_nationkey AS key, n_name, n_regionkey AS r, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation),
+c AS (SELECT count(*) AS c FROM n), d AS (SELECT count(*) AS d FROM n WHERE r = 0)
+SELECT key, n_name AS value, i AS seqno, 0 AS value_type FROM n
+UNION ALL SELECT key, NULL, c + row_number() OVER (ORDER BY i) - 1, 1 FROM n, c WHERE r = 0
+UNION ALL SELECT key, n_name || '!', c + d, 0 FROM n, c, d WHERE r = 1""")
+def _buffer_versions(spark, folder):
+    """Every version that row-wise writes leave in the buffer, a batch's under one number."""
+    return _plain(_written(spark, folder).log())
+
+
 def discard(store: Store) -> None:
     """Closes a store and removes its folder."""
     store.close()
