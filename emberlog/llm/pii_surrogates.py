@@ -72,8 +72,8 @@ _ENDINGS = {"latin": ("lina", "rik", "son"), "cyrillic": ("лина", "рик",
 
 
 def _array(values) -> Column:
-    """A constant array of integers, as one expression."""
-    return F.expr(f"array({', '.join(map(str, values))})")
+    """A constant array of integers, in few expressions: plans hold many of them."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
 def kind_of(entity: Column) -> Column:
@@ -247,7 +247,7 @@ def name_units(entity: Column) -> Column:
 
 def known_units(found: Column) -> Column:
     """The words of all names of a text, those of names of several words first: what later mentions refer to."""
-    names = F.filter(found, lambda e: _titled(e) & (kind_of(e) == "person"))
+    names = F.filter(found, _titled)
     several = F.filter(names, lambda e: F.size(_words(e)) > 1)
     return F.array_distinct(F.flatten(F.concat(F.transform(several, name_units), F.transform(names, name_units))))
 
@@ -299,7 +299,7 @@ def detected(docs: DataFrame, text: Column, entities: str, units: str, pattern:
     """
     own = F.coalesce(text, F.lit(""))
     docs = docs.withColumn(entities, _found(own)).withColumn(units, known_units(F.col(entities)))
-    words = F.flatten(F.transform(F.filter(entities, lambda e: _titled(e) & (kind_of(e) == "person")), lambda e: F.array_append(_words(e), F.array_join(_words(e), " "))))
+    words = F.flatten(F.transform(F.filter(entities, _titled), lambda e: F.array_append(_words(e), F.array_join(_words(e), " "))))
     longest = F.transform(F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
     mentions = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     docs = docs.withColumn(pattern, F.when(F.size(units) > 0, mentions))
