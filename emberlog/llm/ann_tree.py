@@ -102,9 +102,7 @@ def _best(scores: np.ndarray, ids: list[list[int]], least: np.ndarray, vectors:
     k = min(top, len(scores))
     border = np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * (1 + abs(scores).max())
     near = np.flatnonzero(scores >= border)
-    exact = np.zeros(len(near))
-    for column, x in zip(vectors[near].T, query):  # component by component, as SQL adds up
-        exact += column * x
+    exact = (vectors[near] * query).cumsum(1)[:, -1]  # component by component, as SQL adds up
     order = np.lexsort((least[near], -exact))[:top]
     found = [(-float(exact[o]), i) for o in order for i in ids[near[o]]]
     return [(-s, i) for s, i in sorted(found)[:top]]
