@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.shared import written
 
 #: Vectors in the sample that fits the tree, queries that calibrate it, vectors aimed at in a leaf, leaves at most.
-SAMPLE, CALIBRATION, LEAF, LEAVES = 20_000, 200, 256, 2048
+SAMPLE, CALIBRATION, LEAF, LEAVES = 20_000, 200, 1024, 2048
 FANOUT, RECALL = 8, 0.96
 #: Vectors, and queries, that are multiplied at once.
 BLOCK = 2048
