@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberlog.llm.shared import steps
+from emberlog.llm.shared import steps, tidy
 
 #: Code points of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 12, 1 << 8
@@ -97,6 +97,7 @@ def decode_ids(ids: list[int], path: str, pattern: str) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids): the token ids of each whole text. A null text is an empty one: no ids. One row for each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch, text_column):
@@ -110,6 +111,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
 def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
     """(id, raw): the concatenated bytes of each row's ids; null ids are none."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = pa.array([decode_ids(x or [], path, pattern) for x in batch.column("ids").to_pylist()], pa.binary())
@@ -127,6 +129,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     none. Texts of more than a chunk are cut and stitched, however long. Other columns aren't read.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i) for i in range(encoder(path, pattern).max_token_value + 1)]
         for batch in batches:

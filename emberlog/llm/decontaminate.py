@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import joined, mix, steps
+from emberlog.llm.shared import joined, mix, release, steps, tidy
 
 #: An item leaks into a text if a stretch of it is at an edit distance of at most this share of the item's length.
 DISTANCE = 0.2
@@ -361,6 +361,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, distance: float = DISTAN
     id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     for sent in _sent(docs, benchmark):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = _items(sent, distance)
             for batch in batches:
@@ -400,5 +401,6 @@ def _is_clean(sent, distance: float) -> Column:
                     flags[at + t] = False
                 at += len(few)
             yield pd.Series(flags)
+        release()
 
     return clean(F.col("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.graph import components
-from emberlog.llm.shared import fresh, joined, mix, powers, steps, written
+from emberlog.llm.shared import fresh, joined, mix, powers, steps, tidy, written
 
 #: Shingles in one block of a cluster.
 BLOCK_SHINGLES = 2_000_000
@@ -96,6 +96,7 @@ def set_key(hashes: np.ndarray) -> int:
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
     """(id, text_key, n_shingles, set_key, bands); the last two are null for an empty set."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch, text_column):
@@ -149,6 +150,7 @@ def confirmed(keys: list[int], sets: list[np.ndarray], percent: int) -> list[tup
 def _confirm(members: DataFrame, words: int, percent: int, text_column: str) -> DataFrame:
     """(a, b): confirmed links of rows (cluster, pair, set_key, text), of which one of a set_key is enough."""
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch, text_column):
@@ -160,6 +162,7 @@ def _confirm(members: DataFrame, words: int, percent: int, text_column: str) ->
                     names=["cluster", "blocks", "set_key", "hashes"],
                 )
 
+    @tidy
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import joined, mix, powers, steps
+from emberlog.llm.shared import joined, mix, powers, release, steps, tidy
 
 #: Labelled rows that training takes at most, chosen by a hash of their doc_id.
 TRAINING_ROWS = 3000
@@ -140,6 +140,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**17 floats, whatever the input's size
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch, "text"):
@@ -167,5 +168,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(model.scores(few))
                 at += len(few)
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        release()
 
     return docs.where(scores(F.col("text")) >= 0.5)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,27 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         at = to
 
 
+def release() -> None:
+    """Hands freed memory back to the system. Workers live on between stages, and beside them a later stage needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that releases memory when the task ends."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return own
+
+
 def joined(texts: list[str], lower: bool = False, gap: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts with a gap byte before, between and after them, and where each text's gap is."""
     raw = [x.encode("utf-8", "surrogatepass") for x in texts]
