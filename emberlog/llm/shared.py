@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step holds; its numpy temporaries are about forty times that.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
