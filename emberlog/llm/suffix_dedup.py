@@ -30,6 +30,8 @@ from emberlog.llm.shared import joined, mix, powers, steps, written
 LENGTH, K = 200, 32
 #: Bytes of fragments in one collection, and distinct fragments of an anchor above which its strings are dealt singly.
 COLLECTION_BYTES, MANY = 1 << 18, 2048
+#: Classes by how far a string reaches to the left of its anchor.
+STRIPS = 6
 
 _SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -129,13 +131,13 @@ def _mapped(bwt: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """For places of the transform: how many lesser symbols but ends there are and equal ones before, and where the
     nearest equal one before and behind stands (-1: nowhere). A stable sort of symbols has all of it side by side."""
     order = np.argsort(bwt, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     at, symbols = place[own], bwt[own]
     before, behind = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, len(order) - 1)]
     low = np.where((at > 0) & (bwt[before] == symbols), before, -1)
     high = np.where((at + 1 < len(order)) & (bwt[behind] == symbols), behind, -1)
-    return at - int(np.count_nonzero(bwt == 0)), low, high
+    return at.astype(np.int64) - int(np.count_nonzero(bwt == 0)), low, high
 
 
 def _least(lcp: np.ndarray, low: np.ndarray, own: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,20 +241,24 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _sharing(group: list[tuple], length: int, k: int) -> list[tuple]:
     """The fragments of one anchor, (doc_id, text_key, at, lo, unsure, raw), that can share a string, cut to what can.
 
-    A string reaches over its anchor by half of length - k at least, to the left or to the right. Where no other
-    fragment has the same bytes on that side, no shared string reaches so far; with neither, there is none.
+    A string reaches over its anchor by length - k bytes, of which `left` stand before it. Whatever strip of STRIPS
+    `left` is in, the string holds the bytes that all strings of this strip hold. Where no other fragment has the same
+    ones, it shares no string of the strip.
     """
-    half = (length - k) // 2
-    sides = []
+    reach = length - k
+    width = -(-(reach + 1) // STRIPS)
+    strips = [(i * width, max(0, reach - (i + 1) * width + 1)) for i in range(-(-(reach + 1) // width))]
+    cores = []
     for *_, at, lo, _, raw in group:
         p = at - lo
-        sides.append((raw[p - half : p + k] if p >= half else None, raw[p : p + k + half] if p + k + half <= len(raw) else None))
-    lefts, rights = (Counter(side[i] for side in sides) for i in (0, 1))
+        cores.append([raw[p - left : p + k + right] if left <= p and p + k + right <= len(raw) else None for left, right in strips])
+    often = [Counter(own) for own in zip(*cores)]
     out = []
-    for (doc_id, key, at, lo, unsure, raw), (a, b) in zip(group, sides):
-        left, right, p = a is not None and lefts[a] > 1, b is not None and rights[b] > 1, at - lo
-        if left or right:
-            start, stop = 0 if left else max(0, p - half + 1), len(raw) if right else p + k + half - 1
+    for (doc_id, key, at, lo, unsure, raw), own in zip(group, cores):
+        good = [i for i, core in enumerate(own) if core is not None and often[i][core] > 1]
+        if good:
+            p = at - lo
+            start, stop = max(0, p - (good[-1] + 1) * width + 1), p + k + reach - good[0] * width
             out.append((doc_id, key, lo + start, unsure, raw[start:stop]))
     return out
 
