@@ -10,11 +10,15 @@ with one anchor are a fragment of fewer than two lengths.
    and writes in order. A string with a common prefix of `length` with a neighbour occurs elsewhere.
 3. An anchor with very many distinct fragments is dealt anew, by the hash of each single string.
 
+An anchor, fragment or string of very many rows is counted by aggregates that combine before they shuffle, and its
+rows are found by broadcasting the few keys of this kind, so that no task takes all rows of one.
+
 Runs of removed bytes are put together for each document at the end.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import tempfile
 from collections import Counter
@@ -30,6 +34,9 @@ from emberlog.llm.shared import joined, mix, powers, steps, written
 LENGTH, K = 200, 32
 #: Bytes of fragments in one collection, and distinct fragments of an anchor above which its strings are dealt singly.
 COLLECTION_BYTES, MANY = 1 << 18, 2048
+#: Rows of one key that a task may take. Where there are more than 2**16 times as many rows, it is their 2**16th part,
+#: so that keys beyond it number 2**16 at most and can be broadcast.
+TOGETHER = 1 << 12
 #: Classes by how far a string reaches to the left of its anchor.
 STRIPS = 6
 
@@ -294,7 +301,7 @@ def _by_collections(few: DataFrame, length: int, k: int) -> DataFrame:
     return few.repartition("anchor").sortWithinPartitions("anchor").select(*columns).mapInArrow(run, _SPAN)
 
 
-def _by_strings(many: DataFrame, length: int) -> DataFrame:
+def _by_strings(many: DataFrame, length: int, together: int) -> DataFrame:
     """Spans of repeated strings of anchors with very many distinct fragments, from the count of each single string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,30 +324,66 @@ def _by_strings(many: DataFrame, length: int) -> DataFrame:
                 )
 
     own = many.select("doc_id", "text_key", "lo", "unsure", "raw").mapInArrow(run, "doc_id long, text_key long, unsure boolean, start int, string long")
-    often = own.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    return own.where("unsure").join(often, "string", "left_semi").select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"))
+    total = many.agg(F.sum(F.octet_length("raw") - (length - 1))).first()[0] or 0
+    counts = written(own.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "strings")
+    often = _often(own.where("unsure"), counts, ["string"], max(together, total >> 16))
+    return often.select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"))
+
+
+def _often(rows: DataFrame, counts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The rows whose keys occur more than once, n times by counts. Rows of keys with `most` or more stay where they are."""
+    hot = F.broadcast(counts.where((F.col("n") > 1) & (F.col("n") >= most)).select(*keys))
+    rest = counts.where((F.col("n") > 1) & (F.col("n") < most)).select(*keys)
+    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(rest, keys, "left_semi"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY) -> DataFrame:
+def _dealt(records: DataFrame, together: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of fragments that occur more than once; and one row of each fragment of anchors where one occurs once, with
+    the numbers of the anchor's distinct fragments and of the fragment's rows.
+
+    Whole anchors come together where they have fewer than `most` rows. Of the others, the fragments are counted, and
+    those with `most` rows or more are marked in the same pass; only rows of the rest meet the counts by a shuffle.
+    """
+    most = max(together, records.count() >> 16)
+    hot = records.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    records = records.join(F.broadcast(written(hot.select("anchor", F.lit(True).alias("hot")), "hot")), "anchor", "left")
+    one = F.xxhash64("doc_id", "text_key", "at", "lo")
+    # Rows of other anchors are one group, which has no key and meets nothing.
+    tallies = records.groupBy(F.when(F.col("hot"), F.col("anchor")).alias("anchor"), F.when(F.col("hot"), F.col("fragment")).alias("fragment"))
+    tallies = written(tallies.agg(F.count("*").alias("n"), F.min(one).alias("one")), "tallies")
+    great = F.broadcast(tallies.where((F.col("n") > 1) & (F.col("n") >= most)).select("anchor", "fragment", F.lit(True).alias("great")))
+    rows = records.join(great, ["anchor", "fragment"], "left").withColumn("salt", F.when(F.col("hot"), one).otherwise(F.lit(0)))
+
+    anchor, same = Window.partitionBy("anchor", "salt"), Window.partitionBy("anchor", "salt", "fragment")
+    rows = rows.repartition("anchor", "salt").withColumn("in_anchor", F.count("*").over(anchor)).where("hot or in_anchor > 1")
+    rows = rows.withColumn("n", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy("doc_id", "text_key", "at")))
+    rows = rows.withColumn("distinct", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor)).withColumn("alone", F.max(F.col("n") == 1).over(anchor))
+    found = written(rows.where("hot or n > 1 or alone").drop("salt", "in_anchor"), "fragments")
+
+    cool, crowd = found.where("hot is null"), found.where("hot").drop("n", "distinct", "alone", "nth")
+    some = tallies.where((F.col("n") > 1) & (F.col("n") < most)).select("anchor", "fragment")
+    places = ["doc_id", "text_key", "anchor", "at", "lo", "hi"]
+    sure = [cool.where("n > 1"), crowd.where("great"), crowd.where("great is null").join(some, ["anchor", "fragment"], "left_semi")]
+    anchors = tallies.groupBy("anchor").agg(F.count("*").alias("distinct"), F.max(F.col("n") == 1).alias("alone")).where("alone")
+    firsts = tallies.join(F.broadcast(anchors), "anchor")
+    # Repeated rows share a hash, and distinct leaves one of them.
+    chosen = crowd.withColumn("one", one).join(firsts, ["anchor", "fragment", "one"]).select(*places, "distinct", "n").distinct()
+    return functools.reduce(DataFrame.unionByName, (x.select(*places) for x in sure)), cool.where("alone and nth = 1").select(*places, "distinct", "n").unionByName(chosen)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY, together: int = TOGETHER) -> DataFrame:
     """(doc_id, text_key, start, stop): byte ranges, which may overlap, that repeated strings cover.
 
     docs has doc_id, text and text_key, a hash of the text.
     """
-    anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "fragment")
-    one = same.orderBy("doc_id", "text_key", "at")
-    dealt = _records(docs, length, k).repartition("anchor").withColumn("in_anchor", F.count("*").over(anchor)).where("in_anchor > 1")
-    dealt = dealt.withColumn("equal", F.count("*").over(same)).withColumn("nth", F.row_number().over(one))
-    dealt = dealt.withColumn("distinct", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor)).withColumn("alone", F.max(F.col("equal") == 1).over(anchor))
-    found = written(dealt.where("equal > 1 or alone"), "fragments")
-    wanted = found.where("alone and nth = 1").select(
-        "doc_id", "text_key", "anchor", "at", "lo", "hi", (F.col("distinct") > many).alias("many"), (F.col("equal") == 1).alias("unsure")
-    )
+    sure, wanted = _dealt(written(_records(docs, length, k), "records"), together)
+    sure = sure.select("doc_id", "text_key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    wanted = wanted.withColumns({"many": F.col("distinct") > many, "unsure": F.col("n") == 1}).drop("distinct", "n")
     fetched = written(_fetched(docs, wanted, length).dropDuplicates(["doc_id", "text_key", "lo"]), "collections")
-    sure = found.where("equal > 1").select("doc_id", "text_key", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    return sure.unionByName(_by_collections(fetched.where("not many"), length, k)).unionByName(_by_strings(fetched.where("many"), length))
+    return sure.unionByName(_by_collections(fetched.where("not many"), length, k)).unionByName(_by_strings(fetched.where("many"), length, together))
 
 
-def removed(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY, with_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY, together: int = TOGETHER, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): one row for each row of docs.
 
     A null text is empty. Texts shorter than length lose nothing. Two rows with the same text of that length or more
@@ -350,7 +393,7 @@ def removed(docs: DataFrame, length: int = LENGTH, k: int = K, many: int = MANY,
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_spans(own, length, k, many).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(own, length, k, many, together).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,13 +117,13 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("many", [2048, 1])
-def test_substrings(spark, many):
+@pytest.mark.parametrize(("many", "together"), [(2048, 4096), (1, 4096), (2048, 3), (2048, 1), (1, 2)])
+def test_substrings(spark, many, together):
     rng = random.Random(many)
     parts = ["".join(rng.choice("abcé ") for _ in range(90)) for _ in range(6)]
     own = ["".join(rng.choice([*parts, "xyz", "q"]) for _ in range(rng.randint(0, 9))) for _ in range(40)] + ["a" * 500, "ab" * 300, "", "a" * 39]
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.removed(df, 40, 16, many).collect()}
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.removed(df, 40, 16, many, together).collect()}
     assert [got[i] for i in range(len(own))] == brute_removed(own, 40)
 
 
