@@ -24,20 +24,24 @@ def invalid(log: DataFrame) -> DataFrame:
     return log.where(F.coalesce((size < MIN_KEY) | (size > MAX_KEY), F.lit(True)) | ((F.col("value_type") == 0) & F.col("value").isNull()))
 
 
-def numbered(batch: DataFrame, ordinal: str, first: int, rows: int = 1 << 20) -> DataFrame:
-    """batch with a dense column seqno from first on, in ascending order of ordinal, an integer column.
+def numbered(batch: DataFrame, ordinal: str, first: int, rows: int = 1 << 20, width: int | None = None, shared: bool = True) -> DataFrame:
+    """batch with a dense column seqno from first on, in ascending order of ordinal, an integer column; nulls come last.
 
-    Ordinals are dealt into as many ranges of equal width as give about so many rows each, so that sparse ordinals, as
-    times or hashes are, make no more ranges than dense ones. Ranks within a range and running counts over ranges give the number,
-    so no task sorts more than a range's rows and one gathers a number for each range. Rows that share an ordinal
-    share a sequence number: they are one batch, which becomes visible at once.
+    Ordinals are dealt into ranges of a width. Where none is given, it is the one whose ranges hold about so many rows each,
+    so that sparse ordinals, as times or hashes are, make no more ranges than dense ones. Ranks within a range and running counts over ranges give the number,
+    so no task sorts more than a range's rows and one gathers a number for each range. Rows that share an ordinal, or have
+    none, share a sequence number: they are one batch, which becomes visible at once. With shared=False each row has its own.
     """
-    low, high, n = batch.agg(F.min(ordinal), F.max(ordinal), F.count("*")).first()
-    width = -(-(high - low + 1) // -(-n // rows)) if n and low is not None else 1
-    dealt = batch.withColumn("_range", F.floor((F.col(ordinal) - F.lit(low or 0)) / width))
-    counts = dealt.groupBy("_range").agg(F.count_distinct(ordinal).alias("_n"))
+    if width is None:
+        low, high, n = batch.agg(F.min(ordinal), F.max(ordinal), F.count("*")).first()
+        width = -(-(high - low + 1) // -(-n // rows)) if n and low is not None else 1
+    else:
+        low = 0
+    place = F.floor((F.col(ordinal) - F.lit(low or 0)) / width)
+    dealt = batch.withColumn("_range", F.coalesce(place, F.lit((1 << 63) - 1)))  # a join finds no nulls
+    counts = dealt.groupBy("_range").agg((F.count_distinct(ordinal) if shared else F.count("*")).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rank = F.dense_rank().over(Window.partitionBy("_range").orderBy(ordinal))
+    rank = (F.dense_rank() if shared else F.row_number()).over(Window.partitionBy("_range").orderBy(F.col(ordinal).asc_nulls_last()))
     out = dealt.join(before, "_range").withColumn("seqno", (F.lit(first - 1) + F.col("_before") + rank).cast("long"))
     return out.select(*batch.columns, "seqno")
 

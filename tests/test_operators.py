@@ -103,6 +103,18 @@ def test_numbers(spark):
     assert got == {(-3, 10), (5, 11), (7, 12), (900, 13), (100000, 14)}
 
 
+@pytest.mark.parametrize("ranges", [{"width": 64}, {"width": 1}, {"rows": 2}, {"rows": 1}, {}])
+def test_numbers_with_nulls(spark, ranges):
+    """Whatever the ranges: no row is lost, nulls are numbered last, equal ordinals together or each on its own."""
+    rows = spark.createDataFrame([(o, x) for x, o in enumerate([5, None, 900, 7, 7, 1 << 40, -3, None])], "o long, x int")
+    together = sorted(((r["x"], r["seqno"]) for r in writes.numbered(rows, "o", 10, **ranges).collect()))
+    assert together == [(0, 11), (1, 15), (2, 13), (3, 12), (4, 12), (5, 14), (6, 10), (7, 15)]
+    alone = writes.numbered(rows, "o", 10, shared=False, **ranges).orderBy("seqno").collect()
+    assert [r["seqno"] for r in alone] == list(range(10, 18)) and [r["o"] for r in alone] == [-3, 5, 7, 7, 900, 1 << 40, None, None]
+    nulls = writes.numbered(rows.where("o is null"), "o", 10, **ranges).collect()
+    assert [r["seqno"] for r in nulls] == [10, 10] and writes.numbered(rows.where("x < 0"), "o", 10, **ranges).count() == 0
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([(b"", b"v", 0, 0), (b"k", None, 0, 0), (b"k", None, 0, 1), (b"k" * 65536, b"", 0, 0), (b"k", b"", 0, 0)], LOG)
     assert writes.invalid(rows).count() == 3 and writes.validated(rows.where("key = X'6b' and (value_type = 1 or value is not null)")).count() == 2
