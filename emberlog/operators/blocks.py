@@ -16,6 +16,8 @@ from emberlog.model import after_prefix
 BLOCK_SIZE = 4096
 #: Slices that a segment's probes are dealt into.
 SALTS = 8
+#: Keys in order that are looked up together, and the parts that the index of all segments is dealt into for them.
+RUN, PARTS = 512, 8
 
 
 def layout(log: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -104,6 +106,56 @@ def _asof(blocks: DataFrame, probes: DataFrame, salts: int, ahead: bool) -> Data
     return index_rows.unionByName(asked).withColumn("found", found).where("probe = 1").select("segment_id", "key", F.col("found").alias("block_no"))
 
 
+def lower_bound_everywhere(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """(segment_id, key, block_no): lower_bound of each key in each segment, without a row of it in a shuffle.
+
+    Null keys and segments without start keys get null; a null segment_id equals none and is left out.
+    """
+    return _everywhere(blocks, keys, ahead=False)
+
+
+def _everywhere(blocks: DataFrame, keys: DataFrame, ahead: bool) -> DataFrame:
+    """Only spans between start keys and runs of sorted keys are shuffled. Pairs that overlap give their keys in place.
+
+    Most spans take a run whole; those that begin or end in it take a part. Both sides end in an exchange, so that a
+    pair of their parts is one task, which reads them and computes neither again. No part is held by a broadcast.
+    """
+    session = blocks.sparkSession
+    runs = _runs(keys).repartition(int(session.conf.get("spark.sql.shuffle.partitions")))
+    none = F.array(F.lit(None))
+    at = F.array_sort(F.collect_list(F.when(F.col("start_key").isNotNull(), F.struct("start_key", "block_no"))))
+    starts = blocks.where("segment_id is not null").groupBy("segment_id").agg(at.alias("at"))
+    spans = starts.select(
+        "segment_id",
+        F.concat(none, F.col("at.start_key")).alias("low"),
+        F.concat(F.col("at.start_key"), none).alias("high"),
+        (F.concat(F.col("at.block_no"), none) if ahead else F.concat(none, F.col("at.block_no"))).alias("block_no"),
+    )
+    spans = spans.select("segment_id", F.inline(F.arrays_zip("low", "high", "block_no"))).where("low is null or high is null or low < high").repartition(PARTS)
+    # Null keys are a run without bounds: of a segment they take the one span outside of its blocks.
+    meets = F.when(F.col("least").isNull(), F.col("block_no").isNull()).otherwise(F.expr("(low is null or low <= most) and (high is null or high > least)"))
+    pairs = runs.hint("shuffle_replicate_nl").join(spans, meets)
+    # Bounds are kept where they fall into the run. Whole runs are given without a comparison, and all in generated code.
+    inner = [F.when(F.col("low") > F.col("least"), F.col("low")).alias("low"), F.when(F.col("high") <= F.col("most"), F.col("high")).alias("high")]
+    found = pairs.select("segment_id", "keys", "block_no", *inner).select("segment_id", F.explode("keys").alias("key"), "block_no", "low", "high")
+    return found.where("(low is null or key >= low) and (high is null or key < high)").select("segment_id", "key", "block_no")
+
+
+def _runs(keys: DataFrame) -> DataFrame:
+    """(keys, least, most): sorted keys in arrays of RUN at most. Null keys are in arrays of their own, without bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("key")
+            for own in (column.filter(column.is_null()), column.drop_null()):
+                ends = pa.array([*range(0, len(own), RUN), len(own)], pa.int32())
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, own)], names=["keys"])
+
+    dealt = keys.select("key").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, f"keys array<{dict(keys.dtypes)['key']}>")
+    return dealt.select("keys", F.element_at("keys", 1).alias("least"), F.element_at("keys", -1).alias("most"))
+
+
 def prefix_upper_bound(blocks: DataFrame, prefix: bytes | str) -> DataFrame:
     """(segment_id, block_no): in each segment the first block that starts past all keys with the prefix."""
     end = after_prefix(prefix)
