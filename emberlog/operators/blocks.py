@@ -114,6 +114,11 @@ def lower_bound_everywhere(blocks: DataFrame, keys: DataFrame) -> DataFrame:
     return _everywhere(blocks, keys, ahead=False)
 
 
+def upper_bound_everywhere(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """(segment_id, key, block_no): upper_bound of each key in each segment, as lower_bound_everywhere."""
+    return _everywhere(blocks, keys, ahead=True)
+
+
 def _everywhere(blocks: DataFrame, keys: DataFrame, ahead: bool) -> DataFrame:
     """Only spans between start keys and runs of sorted keys are shuffled. Pairs that overlap give their keys in place.
 
