@@ -146,6 +146,15 @@ def test_blocks(spark):
     assert blocks.mismatches(got, got).count() == 0 and blocks.mismatches(got, other).count() == 1
 
 
+def test_bounds_of_binary_keys(spark):
+    rows = blocks.index(blocks.layout(in_segments(log_of(spark, *[(f"k{i // 3:03d}", i, "v" * (i % 7)) for i in range(60)]), 25), 16))
+    keys = spark.createDataFrame([(bytes(k),) for k in (b"", b"k", b"k003", b"k003\x00", b"k011", b"k019", b"\xff")], "key binary")
+    asked = keys.crossJoin(rows.select("segment_id").distinct())
+    for pairs, everywhere in ((blocks.lower_bound, blocks.lower_bound_everywhere), (blocks.upper_bound, blocks.upper_bound_everywhere)):
+        got, want = everywhere(rows, keys), pairs(rows, asked)
+        assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_statistics(spark):
     log = in_segments(log_of(spark, ("a", 1, "xx"), ("a", 2, None), ("b", 3, "y")), 100)
     r = statistics.segment_metadata(log).first()
